@@ -38,6 +38,12 @@ def cut(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", how: str = "left_semi") -> DataFrame:
+    """The rows of docs whose id is among ids (one column), or with left_anti the others; null equals null."""
+    keys = ids.toDF("__quern_key").distinct()
+    return docs.join(keys, F.col(id_col).eqNullSafe(F.col("__quern_key")), how)
+
+
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     """The pyarrow file system of a URI and the path there; usable on the driver and on executors."""
     if uri.startswith("file:"):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, rows, table
+from quern.llm.common import cut, table, with_ids
 
 #: Random features; the normal equations are DIM x DIM.
 DIM = 256
@@ -195,5 +195,4 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that score THRESHOLD or more, with their columns."""
     scored = cut(quality_scores(docs, table(spark, sf_dir, "labels")))
-    rejected = scored.where(F.col("score") < THRESHOLD).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    return with_ids(docs, scored.where(F.col("score") < THRESHOLD).select("doc_id"), how="left_anti")

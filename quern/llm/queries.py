@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import exact_dedup, jaccard_join, quality, substring_dedup, token_store, toxicity, warc
+from quern.llm import decontaminate, exact_dedup, jaccard_join, packing, quality, secrets, substring_dedup, token_store, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,7 +11,10 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_packing": packing.op7_packing,
     "op8_ngram_jaccard": jaccard_join.op8_ngram_jaccard,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_secrets": secrets.op10_secrets,
 }
 
 #: Queries that SQL expresses; the others are tested against brute force, a round trip or held-out labels in tests/llm.

@@ -62,7 +62,7 @@ class PerfectHash:
 
     @staticmethod
     def _place(hashes: np.ndarray, level: int, size: int) -> np.ndarray:
-        return (mix(hashes ^ mix(_LEVEL_SEED + np.uint64(level))) % np.uint64(size)).astype(np.int64)
+        return (mix(hashes ^ mix(np.full(1, _LEVEL_SEED) + np.uint64(level))) % np.uint64(size)).astype(np.int64)
 
     def slots(self, hashes: np.ndarray) -> np.ndarray:
         """The slot of each hash; -1 where it surely is no key."""

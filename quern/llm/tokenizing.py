@@ -51,7 +51,7 @@ class Encoder:
         cores, tails = {}, set()
         for x in pieces:
             core = x.rstrip(_PUNCTUATION)
-            if core and core != x and core[-1].isalnum():
+            if core and core != x and core[-1].lower()[-1].isalnum():
                 cores[x] = core, (tail := x[len(core) :])
                 tails.add(tail)
         fresh = {cores[x][0] if x in cores else x for x in pieces}

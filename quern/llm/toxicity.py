@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: a document's sentences are scored, and noisy-or makes the document's score of them.
 
-Labels are of documents only. A sentence's score is the logistic function of a bias and the weights of its distinct words; a document
+Labels are of documents only. A sentence's score is the logistic function of a bias and the weights of its distinct words, by parts; a document
 is toxic unless all its sentences are not: 1 - prod(1 - p). The weights are fitted by the gradient of that likelihood on a bounded
 sample of labelled rows (SAMPLE rows, those with the least hashes; their words come to the driver, no texts). All documents are then
 scored, and sentences that score SENTENCE or more are located.
@@ -13,6 +13,7 @@ are scored whole; an empty table gives an empty result; other columns are not re
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,16 +21,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, rows, table, word_hashes
+from quern.llm.common import cut, table
 from quern.llm.quality import HELD_OUT, fold_of, learning_labels
 
 #: Labelled rows that weights are fitted on, at most; those with the least hash of their id.
-SAMPLE = 6_000
+SAMPLE = 3_500
 #: Words a labelled row brings at most to the fit; of longer texts, evenly spaced sentences. Scoring reads whole texts.
 SAMPLE_WORDS = 2_000
-#: Documents a word has to occur in, in the sample, to have a weight.
-LEAST = 3
-ROUNDS = 150
+#: Labelled rows that a part of a word has to occur in, in the sample, to have a weight.
+LEAST = 6
+PARTS = (4, 5, 6)
+ROUNDS = 100
+#: By how much each round draws weights to 0.
+SHRINK = 0.02
+#: Words whose weights are remembered in a worker, about 100 bytes each.
+WORDS = 500_000
 THRESHOLD = 0.5
 SENTENCE = 0.3
 
@@ -44,74 +50,87 @@ def sentences(text: bytes | None) -> list[list[bytes]]:
     return [w for x in _SENTENCES.split(text or b"") if (w := x.translate(_PLAIN).split())]
 
 
+def parts_of(word: bytes) -> list[bytes]:
+    """What a word is known by: itself, and its first 4, 5 and 6 bytes, so that other forms of a stem count too."""
+    return [b"=" + word, *(b"^" + word[:k] for k in PARTS if len(word) >= k)]
+
+
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of labelled rows: the hashes of each sentence's distinct words, and where sentences end."""
+    """Of labelled rows: the distinct words of each sentence, a line each."""
     for batch in batches:
-        words, ends = [], []
+        bags = []
         for text in batch.column("text").to_pylist():
             found = [sorted(set(x)) for x in sentences(text)]
             total = sum(map(len, found))
             if total > SAMPLE_WORDS:
                 found = found[:: -(-total // SAMPLE_WORDS)]
-            words.append(word_hashes([w for x in found for w in x]).tobytes())
-            ends.append(np.cumsum([len(x) for x in found], dtype=np.int64).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("rank"), batch.column("y"), pa.array(words, pa.binary()), pa.array(ends, pa.binary())], names=["rank", "y", "words", "ends"])
+            bags.append(b"\n".join(b" ".join(x) for x in found))
+        yield pa.RecordBatch.from_arrays([batch.column("rank"), batch.column("y"), pa.array(bags, pa.binary())], names=["rank", "y", "bag"])
 
 
 class Model:
-    def __init__(self, words: np.ndarray, weights: np.ndarray, bias: float):
-        self.words, self.weights, self.bias = words, weights, bias
+    """Weights of parts of words, and a bias. Sums for whole words are remembered, up to a bound."""
+
+    def __init__(self, weights: dict[bytes, float], bias: float):
+        self.weights, self.bias = weights, bias
+        self.words: dict[bytes, float] = {}
+
+    def __getstate__(self) -> tuple:
+        return self.weights, self.bias
+
+    def __setstate__(self, state: tuple) -> None:
+        self.__init__(*state)
 
-    def _at(self, hashes: np.ndarray) -> np.ndarray:
-        """Positions among the words; len(words) for an unknown one."""
-        at = np.minimum(np.searchsorted(self.words, hashes), max(0, len(self.words) - 1))
-        return np.where(self.words[at] == hashes, at, len(self.words)) if len(self.words) else np.zeros(len(hashes), np.int64)
+    def weight(self, word: bytes) -> float:
+        if (found := self.words.get(word)) is None:
+            if len(self.words) >= WORDS:
+                self.words.clear()
+            found = self.words[word] = sum(self.weights.get(x, 0.0) for x in parts_of(word))
+        return found
 
     def sentence_scores(self, found: list[list[bytes]]) -> np.ndarray:
-        flat = [w for x in found for w in set(x)]
-        if not flat:
-            return np.zeros(0)
-        ends = np.cumsum([len(set(x)) for x in found])
-        padded = np.append(self.weights, 0.0)[self._at(word_hashes(flat))]
-        return 1 / (1 + np.exp(-(self.bias + np.add.reduceat(padded, np.concatenate(([0], ends[:-1]))))))
+        z = np.array([sum(map(self.weight, set(x))) for x in found], float) + self.bias
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(bags: list[tuple[float, bytes, bytes]]) -> Model:
-    """bags: label, words and ends of each labelled row."""
+def fit(bags: list[tuple[float, bytes]]) -> Model:
+    """bags: label and sentences of each labelled row."""
     bags = [x for x in bags if x[1]]
     y = np.array([x[0] for x in bags])
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -6.0)
-    per_doc = [np.frombuffer(x[1], np.uint64) for x in bags]
-    distinct, in_docs = np.unique(np.concatenate([np.unique(x) for x in per_doc]), return_counts=True)
-    words = distinct[in_docs >= LEAST]
-    model = Model(words, np.zeros(len(words)), -6.0)
-    at = model._at(np.concatenate(per_doc)).astype(np.int32)
-    sizes = [np.diff(np.frombuffer(x[2], np.int64), prepend=0) for x in bags]
-    per_sentence, of_doc = np.concatenate(sizes), np.array([len(x) for x in sizes])
-    sentence_of = np.repeat(np.arange(len(per_sentence)), per_sentence)
-    known = at < len(words)
-    at, sentence_of = at[known], sentence_of[known]
-    first = np.concatenate(([0], np.cumsum(of_doc)[:-1]))
-    doc_of = np.repeat(np.arange(len(y)), of_doc)
-    balance = np.where(y == 1, 0.5 / max(1e-9, y.mean()), 0.5 / max(1e-9, 1 - y.mean())) ** 0.5
-
-    theta = np.append(model.weights, model.bias)
-    m, v, best = np.zeros_like(theta), np.zeros_like(theta), theta
+        return Model({}, -6.0)
+    number: dict[bytes, int] = {}
+    word_at, per_sentence, of_doc, docs_with = [], [], [], Counter()
+    for _, bag in bags:
+        lines = [x.split(b" ") for x in bag.split(b"\n")]
+        of_doc.append(len(lines))
+        per_sentence += map(len, lines)
+        for x in lines:
+            word_at += [number.setdefault(w, len(number)) for w in x]
+        docs_with.update({q for w in {w for x in lines for w in x} for q in parts_of(w)})
+    names = sorted(q for q, k in docs_with.items() if k >= LEAST)
+    part_number = {q: k for k, q in enumerate(names)}
+    pairs = [(k, part_number[q]) for w, k in number.items() for q in parts_of(w) if q in part_number]
+    part_of, part = np.array(pairs, np.int64).reshape(-1, 2).T
+    at, sentence_of = np.array(word_at), np.repeat(np.arange(len(per_sentence)), per_sentence)
+    first, doc_of = np.concatenate(([0], np.cumsum(of_doc)[:-1])), np.repeat(np.arange(len(y)), of_doc)
+    balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5
+
+    theta = np.append(np.zeros(len(names)), -6.0)
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, ROUNDS + 1):
-        z = theta[-1] + np.bincount(sentence_of, theta[at], len(per_sentence))
+        word = np.bincount(part_of, theta[part], len(number))
+        z = theta[-1] + np.bincount(sentence_of, word[at], len(per_sentence))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         q = np.add.reduceat(np.logaddexp(0, z), first)  # -log of "no sentence is toxic"
         slope = np.where(y == 1, -1 / np.expm1(np.clip(q, 1e-6, 30)), 1.0) * balance / len(y)
         by_sentence = slope[doc_of] * p
-        gradient = np.append(np.bincount(at, by_sentence[sentence_of], len(words)), by_sentence.sum())
-        gradient[:-1] += 2e-5 * theta[:-1]
+        by_word = np.bincount(at, by_sentence[sentence_of], len(number))
+        gradient = np.append(np.bincount(part, by_word[part_of], len(names)), by_sentence.sum())
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
-        theta = theta - 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
-        theta[:-1] = np.sign(theta[:-1]) * np.maximum(np.abs(theta[:-1]) - 0.004, 0)  # words that tell nothing go to 0
-        best = theta
-    keep = best[:-1] != 0
-    return Model(words[keep], best[:-1][keep], float(best[-1]))
+        theta = theta - 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+        theta[:-1] = np.sign(theta[:-1]) * np.maximum(np.abs(theta[:-1]) - SHRINK, 0)  # parts that tell nothing go to 0
+    return Model({names[k]: float(theta[k]) for k in np.flatnonzero(theta[:-1])}, float(theta[-1]))
 
 
 def _score(model: Model, sentence: float):
@@ -140,8 +159,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     known = learning_labels(labels, value, id_col).withColumn("rank", F.xxhash64("id"))
     # The sample is cut among the labels before any text is read; two longs a row.
     chosen = cut(known.orderBy("rank", "id").limit(sample).select("id", "rank", F.col("y").cast("double").alias("y")))
-    bags = base.join(F.broadcast(chosen), "id").mapInArrow(_bags, "rank long, y double, words binary, ends binary")
-    got = sorted(((r["rank"], r["y"], bytes(r["words"]), bytes(r["ends"])) for r in bags.toLocalIterator()))
+    bags = base.join(F.broadcast(chosen), "id").mapInArrow(_bags, "rank long, y double, bag binary")
+    got = sorted((r["rank"], r["y"], bytes(r["bag"])) for r in bags.toLocalIterator())
     model = docs.sparkSession.sparkContext.broadcast(fit([x[1:] for x in got]))
     return base.mapInArrow(_scorer(model, SENTENCE), "id long, score double, offending array<struct<start int, end int, score double>>").withColumnRenamed("id", id_col)
 
