@@ -32,9 +32,11 @@ PASSAGE = 128
 RANK = 256
 #: Blocks whose spaces are sent to executors at once, about 5 MB each.
 BLOCKS = 6
-#: Words in a window; windows start a quarter of that apart.
-WINDOWS = (24, 48)
-COSINE = 0.25
+#: Words in a window; windows start half of that apart. Blocks with a passage of fewer than SHORT words have small windows too.
+WINDOW, SMALL_WINDOW, SHORT = 48, 12, 6
+COSINE = 0.3
+#: Norm of what is left of a passage without its weightiest words.
+REST = 0.15
 OVERLAP = 0.6
 ANSWER = 0.5
 
@@ -104,6 +106,17 @@ class Space:
         a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
         basis = randomised_svd(a, rank)
         self.passages, self.basis = (a @ basis).astype(np.float32), basis.astype(np.float32)
+        # Of each passage the weightiest words, by word: whose they are and how much they weigh.
+        heads = []
+        for k, row in enumerate(a):
+            order = np.argsort(-row, kind="stable")
+            left = np.sqrt(np.maximum(0, 1 - np.cumsum(row[order] ** 2)))
+            heads += [(x, k, row[x]) for x in order[: int((left > REST).sum()) + 1] if row[x]]
+        heads.sort()
+        self.head_word = np.array([x[0] for x in heads], np.int64)
+        self.head_passage, self.head_weight = np.array([x[1] for x in heads], np.int64), np.array([x[2] for x in heads])
+        self.head_start = np.searchsorted(self.head_word, np.arange(len(self.slots) + 2))
+        self.widths = (WINDOW,) if min(map(len, self.words)) >= SHORT else (WINDOW, SMALL_WINDOW)
         self.at = None
 
     def positions(self, slots: np.ndarray) -> np.ndarray:
@@ -141,22 +154,32 @@ def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
 def _candidates(slots: np.ndarray, idf: np.ndarray, space: Space, cosine: float) -> dict[int, list[tuple[float, int, int]]]:
     """By passage: similarity, start and end of the windows that reach the cosine."""
     at = space.positions(slots)
-    weight = idf[slots]
-    squares = np.concatenate(([0], np.cumsum(weight.astype(np.float64) ** 2)))
-    inside = np.concatenate(([0], np.cumsum(np.where(at < len(space.slots), weight, 0).astype(np.float64) ** 2)))
+    weight = idf[slots].astype(np.float64)
+    total = np.concatenate(([0], np.cumsum(weight**2)))  # a term's weight is sqrt(count) * idf, so that squares add up word by word
+    n_heads = space.head_start[at + 1] - space.head_start[at]
+    place = np.repeat(np.arange(len(slots)), n_heads)
+    if not len(place):
+        return {}
+    head = np.arange(len(place)) - np.repeat(np.cumsum(n_heads) - n_heads, n_heads) + np.repeat(space.head_start[at], n_heads)
+    product, passage, many = weight[place] * space.head_weight[head], space.head_passage[head], len(space.passages)
     found: dict[int, list[tuple[float, int, int]]] = {}
-    for width in WINDOWS:
-        start = np.arange(0, max(1, len(slots) - width + width // 4), width // 4)
+    for width in space.widths:
+        step = width // 2
+        count = max(1, -(-(len(slots) - step) // step))  # windows start at multiples of step; each word is in two
+        last = np.minimum(place // step, count - 1)
+        sums = np.bincount(last * many + passage, product, count * many)
+        both = (place // step == last) & (last > 0)
+        sums += np.bincount(((last - 1) * many + passage)[both], product[both], count * many)
+        start = np.arange(count) * step
         end = np.minimum(start + width, len(slots))
-        # A term's weight is sqrt(count) * idf, so that squares add up word by word: the part of them in the block bounds the cosine.
-        part, whole = inside[end] - inside[start], squares[end] - squares[start]
-        for k in np.flatnonzero((part > 0) & (part >= cosine**2 * whole)):
+        norm = np.sqrt(total[end] - total[start])
+        hopeful = (sums.reshape(count, many) >= (cosine - REST) * norm[:, None]).any(1)
+        for k in np.flatnonzero(hopeful):
             i, j = int(start[k]), int(end[k])
             known = np.flatnonzero(at[i:j] < len(space.slots)) + i
             used, times = np.unique(slots[known], return_counts=True)
             projected = (np.sqrt(times) * idf[used]) @ space.padded[space.positions(used)]
-            norm = float(whole[k]) ** 0.5
-            cosines = space.passages @ projected / max(norm, 1e-12)
+            cosines = space.passages @ projected / max(float(norm[k]), 1e-12)
             for p in np.flatnonzero(cosines >= cosine):
                 found.setdefault(int(p), []).append((float(cosines[p]), i, j))
     return found
