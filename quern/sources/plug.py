@@ -96,7 +96,7 @@ def perceptual_hash(gray: np.ndarray) -> int:
     n = gray.shape[0]
     k = np.arange(n)
     basis = np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / (2 * n))
-    low = (basis @ gray.astype(float) @ basis.T)[:8, :8].ravel()
+    low = np.round((basis @ gray.astype(float) @ basis.T)[:8, :8].ravel(), 6)
     bits = low > np.median(low[1:])
     value = int("".join("1" if b else "0" for b in bits), 2)
     return value - (1 << 64) if value >> 63 else value
