@@ -1,9 +1,7 @@
-"""What the operators of this subpackage share: the shared folder, hashing, a bit filter of fixed size, components."""
+"""What the operators of this subpackage share: files, hashing, a bit filter of fixed size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.plans.iterate import components, cut, shared_folder  # noqa: F401
+
 #: Bits of a bit filter: 8 MB, whatever the input.
 FILTER_BITS = 1 << 26
 
@@ -21,23 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors see: below spark.checkpoint.dir, or below a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quern-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it: its lineage ends, and it outlives lost executors."""
-    spark = df.sparkSession
-    path = folder or shared_folder(spark)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def with_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", how: str = "left_semi") -> DataFrame:
     """The rows of docs whose id is among ids (one column), or with left_anti the others; null equals null."""
     keys = ids.toDF("__quern_key").distinct()
@@ -162,26 +145,3 @@ class Out:
                 arrays.append(pa.array([x for xs in part for x in xs], field.type))
         self.parts, self.n = [[] for _ in self.schema], 0
         return pa.RecordBatch.from_arrays(arrays, schema=self.schema)
-
-
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
-    """Connected components of edges (a long, b long): a row (id, component) for each id in an edge; component is the least id reachable.
-
-    Each round takes the least label among neighbours, hands it to the vertex's present root too, and follows labels once more, so
-    that the rounds grow with the logarithm of a component's diameter. Every step is a join or a grouped minimum; a hub's edges are
-    rows, never a list. Rounds end when no label changes. limit only guards against an error in the rounds.
-    """
-    both = cut(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("f")).select(F.col("a").alias("id"), "f"))
-    for _ in range(limit):
-        near = both.join(labels.select(F.col("id").alias("b"), "f"), "b").groupBy("a").agg(F.min("f").alias("m"))
-        seen = labels.join(near.select(F.col("a").alias("id"), "m"), "id")
-        offers = seen.select("id", F.least("f", "m").alias("f")).union(seen.where("m < f").select(F.col("f").alias("id"), F.col("m").alias("f")))
-        first = offers.groupBy("id").agg(F.min("f").alias("f"))
-        new = first.join(first.select(F.col("id").alias("f"), F.col("f").alias("g")), "f").select("id", F.least("f", "g").alias("f"))
-        new = cut(new.join(labels.withColumnRenamed("f", "was"), "id").select("id", "f", (F.col("f") < F.col("was")).alias("moved")))
-        moved = new.where("moved").limit(1).count()
-        labels = new.select("id", "f")
-        if not moved:
-            return labels.withColumnRenamed("f", "component")
-    raise RuntimeError(f"components not settled in {limit} rounds")
