@@ -217,7 +217,7 @@ on_names("split_coordinated", lambda t: t.select("id", F.array_join(text.split_c
 on_names("keys_of_text", lambda t: t.select("id", F.sha1("name").alias("sha1"), F.sha2("name", 256).alias("sha256"), F.soundex("name").alias("soundex"), F.levenshtein("name", F.lit("red widget")).cast("long").alias("distance")).drop("soundex"), "select id, sha1(name) as sha1, sha256(name) as sha256, levenshtein(name, 'red widget') as distance from t")
 on_names("display_names", lambda t: t.select("id", text.display_name("name", {"nation 1": "First nation"}).alias("value")), "select id, case when name = 'NATION_1' then 'First nation' else replace(name, '_', ' ') end as value from t")
 on_names("prompts", lambda t: t.select("id", prompt("Label {entity} (now {label}).", entity="name", label="id").alias("value")), "select id, 'Label ' || name || ' (now ' || id || ').' as value from t")
-on_names("sample_distinct", lambda t: clean.sample_distinct(t.where("id >= 100000000 and id < 200000000"), "name", 50), "select name from (select distinct name from t where id >= 100000000 and id < 200000000) order by md5('0' || name), name limit 50")
+on_names("sample_distinct", lambda t: clean.sample_distinct(t, "name", 50), "select name from (select distinct name from t) order by md5('0' || name), name limit 50")
 on_names("dedup_keep_first", lambda t: clean.keep_first(t, ["name"], "id"), "select id, name from t qualify row_number() over (partition by name order by id) = 1")
 
 PREDICATES = ["activates", "does not activates", "does_not_activates", "dephosphorylation", "inactivates", "directly_increases", "directlyIncreases", "leads_to", "does not increase", "decreased", "does not decrease", "member of", "inhibited", "up-regulation of", "fails to inhibit", "positively correlates with", "binding", "part of", "localised to", "trafficking", "marker of", "no significant effect", "regulation", "PartOf the", "no increases", "subunit of", "anti-correlation", "elevating", "reduced", "interacts", ""]
@@ -368,15 +368,16 @@ def assignments(spark, d):
     return match.assignments(match.pair_similarities(*sides(spark, d)))
 
 
-@query("best_category", """with k as (select label, min(vec_id) over (partition by label) as o, embedding as e from embeddings where vec_id < 200),
-s as (select v.vec_id, k.label, k.o, max(round(list_cosine_similarity(v.embedding::double[], k.e::double[]), 9)) as score from embeddings v, k group by 1, 2, 3),
-b as (select * from s qualify row_number() over (partition by vec_id order by score desc, o) = 1)
+@query("best_category", """with m as (select label, p, avg(embedding[p]::double) as v from embeddings, range(1, 65) r(p) group by 1, 2), k as (select label, list(v order by p) as e from m group by 1),
+s as (select v.vec_id, k.label, round(list_cosine_similarity(v.embedding::double[], k.e), 9) as score from embeddings v, k), b as (select * from s qualify row_number() over (partition by vec_id order by score desc, label) = 1)
 select vec_id, case when score > 0 and score >= 0.3 then 'c' || label else 'Uncategorized' end as category, round(greatest(score, 0), 6) as score from b""")
 def best_category(spark, d):
+    """Keywords are the mean vectors of the labels."""
     t = table(spark, d, "embeddings")
-    keywords = t.where("vec_id < 200").select(F.concat(F.lit("c"), F.col("label").cast("string")).alias("category"), F.col("vec_id").alias("ord"), "embedding")
-    found = categorize.best_category(t, keywords, threshold=0.3, key="vec_id")
-    return found.withColumn("score", F.round("score", 6))
+    means = t.select("label", F.posexplode("embedding").alias("p", "x")).groupBy("label", "p").agg(F.avg(F.col("x").cast("double")).alias("v"))
+    vectors = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("p", "v"))).alias("e"))
+    keywords = vectors.select(F.concat(F.lit("c"), F.col("label").cast("string")).alias("category"), F.col("label").alias("ord"), F.transform("e", lambda x: x.v).alias("embedding"))
+    return categorize.best_category(t, keywords, threshold=0.3, key="vec_id").withColumn("score", F.round("score", 6))
 
 
 @query("category_counts", "select p_type as category, count(*) as count from part group by 1")
@@ -384,13 +385,12 @@ def category_counts(spark, d):
     return categorize.category_counts(table(spark, d, "part").select(clean.final_category(F.lit("Uncategorized"), F.col("p_type")).alias("category")))
 
 
-@query("near_dup_pairs", """with h as (select event_id as id, hash_of as h from (select event_id, list_reduce(list_transform(string_split(md5(cast(event_id % 97 as varchar))[1:7], ''), lambda c: cast(('0x' || c) as bigint)), lambda a, b: a * 16 + b) # (event_id % 3) as hash_of from events where event_id < 400))
-select a.id as a, b.id as b, bit_count(xor(a.h, b.h)) as distance from h a join h b on a.id < b.id where bit_count(xor(a.h, b.h)) < 8""".replace("# (event_id % 3) as hash_of", "* 4 + event_id % 3 as hash_of"))
+@query("near_dup_pairs", """with h as (select event_id as id, list_reduce(list_transform(string_split(md5(cast(event_id // 3 as varchar))[1:15], ''), lambda c: cast(('0x' || c) as bigint)), lambda a, b: a * 16 + b) * 4 + event_id % 3 as h from events)
+select a.id as a, b.id as b, cast(bit_count(xor(a.h, b.h)) as int) as distance from h a join h b on a.id < b.id where bit_count(xor(a.h, b.h)) < 8""")
 def near_dup_pairs(spark, d):
-    """Hashes of 28 bits of a digest and two of the id: groups of near and equal ones."""
-    value = F.conv(F.substring(F.md5((F.col("event_id") % 97).cast("string")), 1, 7), 16, 10).cast("long") * 4 + F.col("event_id") % 3
-    t = table(spark, d, "events").where("event_id < 400").select(F.col("event_id").alias("id"), value.alias("hash"))
-    return dedup.near_pairs(t)
+    """Hashes of 60 bits of a digest, which three events share, and two of the id."""
+    value = F.conv(F.substring(F.md5(F.expr("cast(event_id div 3 as string)")), 1, 15), 16, 10).cast("long") * 4 + F.col("event_id") % 3
+    return dedup.near_pairs(table(spark, d, "events").select(F.col("event_id").alias("id"), value.alias("hash")))
 
 
 @query("remove_poorer")
@@ -437,9 +437,6 @@ def enrich_triples(spark, d):
     return linking.enrich(triples(spark, d), links).groupBy("subject", "object", "subject_ontology_id", "object_ontology_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-_CLEAN = "regexp_replace(lower({0}), '([a-z0-9_])[ _-]+([a-z0-9_])', '\\1\\2', 'g')"
-
-
 @query("build_nodes", "with t as (select p_name as name, 'Chemical' as label from lineitem join part on l_partkey = p_partkey union select s_name, 'Gene' from lineitem join supplier on l_suppkey = s_suppkey) select 'name:' || replace(lower(name), ' ', '') as key, label as labels from t")
 def build_nodes(spark, d):
     g = build(triples(spark, d))
