@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,16 +16,34 @@ from quern.plans.iterate import components, cut, shared_folder  # noqa: F401
 
 #: Bits of a bit filter: 8 MB, whatever the input.
 FILTER_BITS = 1 << 26
+#: Ids that are broadcast at most, 8 bytes each.
+BROADCAST_IDS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", how: str = "left_semi") -> DataFrame:
-    """The rows of docs whose id is among ids (one column), or with left_anti the others; null equals null."""
-    keys = ids.toDF("__quern_key").distinct()
-    return docs.join(keys, F.col(id_col).eqNullSafe(F.col("__quern_key")), how)
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Within, Arrow batches for Python hold so many bytes at most: less memory for rows with large values."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id isn't among ids (one column). A row with a null id can't be told from others like it, and stays.
+
+    A list of ids of a checked size is broadcast, which spares the texts a shuffle; a longer one is joined.
+    """
+    keys = cut(ids.toDF("__quern_key").where("__quern_key is not null").distinct())
+    few = keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(keys) if few else keys.hint("merge"), F.col(id_col) == F.col("__quern_key"), "left_anti")
 
 
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:

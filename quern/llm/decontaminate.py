@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Out, cut, rows, table, with_ids
+from quern.llm.common import Out, cut, rows, table, without_ids
 
 SLOTS = 1 << 17
 CHUNKS = 16
@@ -258,5 +258,5 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark item, with their columns."""
-    return with_ids(docs, contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"), how="left_anti")
+    """The documents that hold no benchmark item, with their columns; rows with a null id stay."""
+    return without_ids(docs, contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, table, with_ids
+from quern.llm.common import cut, table, without_ids
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters under the second step's hash.
@@ -67,7 +67,7 @@ from t
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that stay, with their columns; a row that repeats an id and a text comes once."""
-    stay = with_ids(docs, exact_dedup(docs).where("kept").select("doc_id"))
+    """The documents that stay, with their columns; a row that repeats an id and a text comes once; rows with a null id stay."""
+    stay = without_ids(docs, exact_dedup(docs).where("not kept").select("doc_id"))
     repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
     return stay.dropDuplicates(["doc_id", "text"]) if repeated else stay

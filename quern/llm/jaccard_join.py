@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Out, Rolling, bit_filter, components, cut, mix, passes, rows, table, word_hashes, words_of
+from quern.llm.common import Out, Rolling, bit_filter, components, cut, mix, passes, rows, table, without_ids, word_hashes, words_of
 
 SHINGLE = 5
 #: Similarity in hundredths.
@@ -313,9 +313,7 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each class, with its columns; rows with a null id stay."""
-    keep = jaccard_classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.join(keep, docs.doc_id == keep.kept_id, "left_semi")
-    return named.unionByName(docs.where("doc_id is null"))
+    return without_ids(docs, jaccard_classes(docs).where("doc_id <> component_id").select("doc_id"))
 
 
 SQL = r"""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, table, with_ids
+from quern.llm.common import cut, table, without_ids
 
 #: Random features; the normal equations are DIM x DIM.
 DIM = 256
@@ -193,6 +193,6 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that score THRESHOLD or more, with their columns."""
-    scored = cut(quality_scores(docs, table(spark, sf_dir, "labels")))
-    return with_ids(docs, scored.where(F.col("score") < THRESHOLD).select("doc_id"), how="left_anti")
+    """The documents that score THRESHOLD or more, with their columns; rows with a null id stay."""
+    scored = quality_scores(docs, table(spark, sf_dir, "labels"))
+    return without_ids(docs, scored.where(F.col("score") < THRESHOLD).select("doc_id"))
