@@ -31,9 +31,9 @@ SAMPLE_WORDS = 2_000
 #: Labelled rows that a part of a word has to occur in, in the sample, to have a weight.
 LEAST = 6
 PARTS = (4, 5, 6)
-ROUNDS = 100
+ROUNDS = 140
 #: By how much each round draws weights to 0.
-SHRINK = 0.02
+SHRINK = 0.01
 #: Words whose weights are remembered in a worker, about 100 bytes each.
 WORDS = 500_000
 THRESHOLD = 0.5
