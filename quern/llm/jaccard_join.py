@@ -8,10 +8,12 @@ n - ceil(t * n) + 1 are its prefix, and two sets of similarity t or more share o
 a shingle in their prefixes. No link is lost, and what is found is verified on whole sets.
 
 1. Documents of equal sets are one: their least id stands for all. Counts of hashed shingles, of a fixed size, give the order.
-2. Blocks are counted by grouped sums; blocks of the same members are one. In each, all members are compared to the least and to the
-   greatest member, and components are made of the links. That joins most groups of near copies, however large, with a row a member.
-3. Blocks that still have members of two components are searched in full: members of the largest component need no comparison with
-   one another; the others are dealt, block-wise, against all. Each such unit has a bounded number of points, in an R-tree.
+2. Blocks are counted by grouped sums; blocks of the same members are one. In each, members are compared to the least member, and
+   components are made of the links; then members outside a block's largest component are compared to its least member. That joins
+   most groups of near copies, however large, with a row or two a member.
+3. Blocks that still have members of two components are searched in full, parted by size: members of the largest component need no
+   comparison with one another; the others are dealt, block-wise, against all. Each such unit has a bounded number of points, in an
+   R-tree.
 
 Defined cases: a null text has no words; fewer than five words make one shingle; an empty set links with nothing; a row with a null
 id links with nothing and has a null component; rows that repeat an id are linked with one another; an empty table gives an empty
@@ -20,7 +22,6 @@ result; other columns are not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,15 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Out, Rolling, bit_filter, components, cut, mix, passes, rows, table, without_ids, word_hashes, words_of
+from quern.llm.common import Out, Rolling, bit_filter, components, cut, mix, passes, rows, small_batches, table, word_hashes, without_ids, words_of
 
 SHINGLE = 5
 #: Similarity in hundredths.
 PERCENT = 80
-#: Coordinates of a point.
-GROUPS = 64
-#: Slots of the counts that order shingles: 2 MB, whatever the input.
-SLOTS = 1 << 18
+#: Least and greatest number of coordinates of a point; between them a set of n has n / 2 to n.
+GROUPS = 32, 1 << 14
+#: Slots of the counts that order shingles: 8 MB, whatever the input.
+SLOTS = 1 << 20
 CHUNKS = 32
 #: Points of either side in a unit of step 3.
 UNIT = 256
@@ -44,8 +45,8 @@ FANOUT = 8
 
 _rolling = Rolling()
 _profile = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("mixed", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
-_member = pa.schema([("shingle", pa.int64()), ("doc", pa.int64()), ("mixed", pa.int64())])
-_candidate = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("point", pa.binary()), ("items", pa.binary()), ("blocks", pa.list_(pa.int64()))])
+_member = pa.schema([("shingle", pa.int64()), ("doc", pa.int64()), ("n", pa.int32())])
+_candidate = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("coarse", pa.binary()), ("point", pa.binary()), ("items", pa.binary()), ("blocks", pa.list_(pa.int64()))])
 
 
 def shingles(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
@@ -65,8 +66,40 @@ def needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def point(items: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    return np.bincount((items >> np.uint64(20)) % np.uint64(groups), minlength=groups).astype(np.int32)
+def groups_of(n: int) -> int:
+    """Coordinates for a set of n: the power of two over n / 2. With few shingles a coordinate, bounds come near the overlap."""
+    return min(GROUPS[1], max(GROUPS[0], 1 << (n // 2).bit_length()))
+
+
+def point(items: np.ndarray) -> np.ndarray:
+    groups = groups_of(len(items))
+    return np.bincount(((items >> np.uint64(20)) & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype("<u2")
+
+
+def folded(p: np.ndarray, groups: int) -> np.ndarray:
+    """A point, or a row each, with fewer coordinates: groups that agree in their lower bits are one."""
+    return p.reshape(*p.shape[:-1], -1, groups).sum(-2, dtype=np.int32)
+
+
+class Forest:
+    """R-trees over points of several numbers of coordinates, one for each that a query meets."""
+
+    def __init__(self, points: list[np.ndarray], sizes: np.ndarray):
+        self.sizes, self.points, self.trees = sizes, points, {}
+        self.groups = np.array([len(p) for p in points])
+
+    def search(self, q: np.ndarray, size: int, percent: int) -> np.ndarray:
+        found = []
+        for groups in np.unique(self.groups):
+            level = int(min(groups, len(q)))
+            if max(groups, len(q)) > 2 * level:  # sizes over a factor of two apart
+                continue
+            if (groups, level) not in self.trees:
+                mine = np.flatnonzero(self.groups == groups)
+                self.trees[groups, level] = mine, Tree(folded(np.stack([self.points[k] for k in mine]), level), self.sizes[mine])
+            mine, tree = self.trees[groups, level]
+            found.append(mine[tree.search(folded(q, level), size, percent)])
+        return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
 class Tree:
@@ -109,7 +142,7 @@ def _profiles(k: int, slots: int):
         width = slots // CHUNKS
         used = [c for c in range(CHUNKS) if counts[c * width : (c + 1) * width].any()]
         for c in used:
-            out.add([None], [None], [None], [None], [None], [c], [counts[c * width : (c + 1) * width].astype("<i8").tobytes()])
+            out.add([None], [None], [None], [None], [None], [c], [counts[c * width : (c + 1) * width].astype("<i4").tobytes()])
         if out.n:
             yield _lists(out)
 
@@ -123,7 +156,7 @@ def _lists(out: Out) -> pa.RecordBatch:
 
 
 def _sum_counts(key: tuple, found: pa.Table) -> pa.Table:
-    total = sum((np.frombuffer(x.as_py(), "<i8") for x in found["counts"]), np.int64(0))
+    total = sum((np.frombuffer(x.as_py(), "<i4").astype(np.int64) for x in found["counts"]), np.int64(0))
     return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
 
@@ -139,10 +172,10 @@ def _members(k: int, percent: int, counts, first):
         out = Out(_member)
         for batch in batches:
             docs, texts = batch.column("doc").to_numpy(), batch.column("text")
-            hashed = mix(docs.view(np.uint64))
-            for i in np.flatnonzero(passes(first.value, hashed)):
-                head = _prefix(shingles(texts[int(i)].as_py(), k), counts.value, percent)
-                out.add(head, np.full(len(head), docs[i]), np.full(len(head), hashed[i]))
+            for i in np.flatnonzero(passes(first.value, mix(docs.view(np.uint64)))):
+                items = shingles(texts[int(i)].as_py(), k)
+                head = _prefix(items, counts.value, percent)
+                out.add(head, np.full(len(head), docs[i]), np.full(len(head), len(items), np.int32))
                 if out.full():
                     yield out.take()
         if out.n:
@@ -162,7 +195,8 @@ def _candidates(k: int, percent: int, counts, first, wanted):
                 items = shingles(texts[int(i)].as_py(), k)
                 head = _prefix(items, counts.value, percent)
                 if len(hits := head[passes(wanted.value, head)]):
-                    out.add([docs[i]], [len(items)], [point(items).astype("<i4").tobytes()], [items.astype("<u8").tobytes()], [hits.view(np.int64).tolist()])
+                    fine = point(items)
+                    out.add([docs[i]], [len(items)], [folded(fine, GROUPS[0]).astype("<u4").tobytes()], [fine.tobytes()], [items.astype("<u8").tobytes()], [hits.view(np.int64).tolist()])
                     size += 8 * len(items)
                     if size > 8_000_000:
                         yield _lists(out)
@@ -186,43 +220,69 @@ def _verify(percent: int):
     return run
 
 
-def _bound(percent: int):
+def _bound(percent: int, kind: str = "<u2"):
     """Of pairs with points and sizes, those whose bound reaches the overlap needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<i4").reshape(batch.num_rows, -1) for c in ("pa", "pb"))
-            n, m = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            good = (np.minimum(p, q).sum(1) >= needed(n, m, percent)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+            good = []
+            for p, q, n, m in zip(*(batch.column(c).to_pylist() for c in ("pa", "pb", "na", "nb")), strict=True):
+                p, q = np.frombuffer(p, kind), np.frombuffer(q, kind)
+                level = min(len(p), len(q))
+                good.append(int(np.minimum(folded(p, level), folded(q, level)).sum()) >= -(-percent * (n + m) // (100 + percent)))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b), those that link: first by their points, then by their sets."""
-    light = sets.select("doc", "n", "point")
+def _among(wanted):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(wanted.value, batch.column("doc").to_numpy())))
+
+    return run
+
+
+def _of_pairs(rows_: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns of rows whose doc is in a pair, by a bit filter: only these are shuffled. A few others may pass."""
+    ends = pairs.select(F.col("a").alias("doc")).union(pairs.select("b"))
+    wanted = rows_.sparkSession.sparkContext.broadcast(bit_filter(ends, "doc"))
+    some = rows_.select(*columns)
+    return some.mapInArrow(_among(wanted), some.schema)
+
+
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of distinct pairs (a, b), those that their points allow."""
+    light = _of_pairs(sets, pairs, ["doc", "n", "point"])
     pointed = pairs.join(light.toDF("a", "na", "pa").hint("merge"), "a").join(light.toDF("b", "nb", "pb").hint("merge"), "b")
-    near = cut(pointed.mapInArrow(_bound(percent), "a long, b long"))
-    heavy = sets.select("doc", "items")
+    return cut(pointed.mapInArrow(_bound(percent), "a long, b long"))
+
+
+def _links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of distinct pairs (a, b), those whose sets link."""
+    heavy = _of_pairs(sets, near, ["doc", "items"])
     full = near.join(heavy.toDF("a", "x").hint("merge"), "a").join(heavy.toDF("b", "y").hint("merge"), "b")
     return cut(full.mapInArrow(_verify(percent), "a long, b long"))
 
 
+def _few(near: DataFrame) -> DataFrame:
+    """Of pairs (a, b), for each b those with the least and with the greatest a."""
+    ends = near.groupBy("b").agg(F.min("a").alias("x"), F.max("a").alias("y"))
+    return cut(ends.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b"))
+
+
 def _unit_pairs(percent: int):
-    """Within units (block, i, j), sorted: pairs of a probe and an indexed member of another component whose bound holds."""
+    """Within units (block, part, i, j), sorted: pairs of a probe and an indexed member of another component whose bound holds."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def solve(unit: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         probe, doc, comp, n, p = (list(x) for x in zip(*unit, strict=True))
         probe, doc, comp, n = np.array(probe), np.array(doc, np.int64), np.array(comp, np.int64), np.array(n, np.int64)
-        p = np.frombuffer(b"".join(p), "<i4").reshape(len(n), -1)
+        p = [np.frombuffer(x, "<u2") for x in p]
         base = np.flatnonzero(~probe)
         if not len(base):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        tree, a, b = Tree(p[base], n[base]), [], []
+        tree, a, b = Forest([p[k] for k in base], n[base]), [], []
         for k in np.flatnonzero(probe):
             found = base[tree.search(p[k], int(n[k]), percent)]
             found = found[comp[found] != comp[k]]
@@ -232,13 +292,13 @@ def _unit_pairs(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, now, unit = Out(schema), None, []
-        for block, i, j, *row in rows(batches, "block", "i", "j", "probe", "doc", "component", "n", "point"):
-            if (block, i, j) != now:
+        for block, part, i, j, *row in rows(batches, "block", "part", "i", "j", "probe", "doc", "component", "n", "point"):
+            if (block, part, i, j) != now:
                 if unit:
                     out.add(*solve(unit))
                     if out.full():
                         yield out.take()
-                now, unit = (block, i, j), []
+                now, unit = (block, part, i, j), []
             unit.append(tuple(row))
         if unit:
             out.add(*solve(unit))
@@ -248,26 +308,43 @@ def _unit_pairs(percent: int):
     return run
 
 
-def _unresolved_pairs(members: DataFrame, labels: DataFrame, percent: int, unit: int) -> DataFrame:
-    """All pairs of different components in a block that the points allow. members: block, doc, n, point."""
-    named = members.join(labels.select(F.col("id").alias("doc"), "component").hint("merge"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    named = cut(named)
-    sizes = named.groupBy("block", "component").agg(F.count(F.lit(1)).alias("c"))
-    blocks = sizes.groupBy("block").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", "component")).alias("main")).where("parts > 1")
-    # Indexed members fall to i, the probes (all but the main component) to j; each unit has about `unit` of either.
-    blocks = blocks.select("block", F.col("main.component").alias("main"), F.ceil(F.col("m") / unit).cast("int").alias("is"), F.ceil((F.col("m") - F.col("main.c")) / unit).cast("int").alias("js"))
-    dealt = named.join(blocks.hint("merge"), "block")
+def _open_blocks(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Members (block, part, doc, component) of blocks that hold several components, with the block's size m, and the largest
+    component main, its size and its least member. members: block, doc, n.
+
+    A block is parted by size: sets whose sizes allow the similarity are in the same class or in neighbouring ones, of which a part
+    holds two.
+    """
+    labelled = members.join(labels.select(F.col("id").alias("doc"), "component").hint("merge"), "doc", "left")
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")
+    named = cut(labelled.select("block", "doc", F.coalesce("component", "doc").alias("component"), F.explode(F.array(size_class, size_class + 1)).alias("part")))
+    sizes = named.groupBy("block", "part", "component").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("least"))
+    blocks = sizes.groupBy("block", "part").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("components"), F.max(F.struct("c", "component", "least")).alias("main")).where("components > 1")
+    return cut(named.join(blocks.select("block", "part", "m", F.col("main.component").alias("main"), F.col("main.c").alias("main_size"), F.col("main.least").alias("main_least")).hint("merge"), ["block", "part"]))
+
+
+def _unresolved_pairs(dealt: DataFrame, points: DataFrame, percent: int, unit: int) -> DataFrame:
+    """All pairs of different components in open blocks that the points allow. points: doc, n, point."""
+    ends = dealt.select(F.col("doc").alias("a"), F.col("doc").alias("b"))
+    # Indexed members fall to i, the probes (all but the main component) to j.
+    dealt = dealt.withColumns({"is": F.ceil(F.col("m") / unit).cast("int"), "js": F.ceil((F.col("m") - F.col("main_size")) / unit).cast("int")})
+    dealt = dealt.join(_of_pairs(points, ends, ["doc", "n", "point"]).hint("merge"), "doc")
     where = lambda k: F.pmod(F.xxhash64("doc"), k).cast("int")
-    indexed = dealt.select("block", where(F.col("is")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("js") - 1)).alias("j"), F.lit(False).alias("probe"), "doc", "component", "n", "point")
-    probes = dealt.where("component <> main").select("block", F.explode(F.sequence(F.lit(0), F.col("is") - 1)).alias("i"), where(F.col("js")).alias("j"), F.lit(True).alias("probe"), "doc", "component", "n", "point")
-    units = indexed.union(probes).repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
-    return units.mapInArrow(_unit_pairs(percent), "a long, b long").distinct()
+    row = ["block", "part", "i", "j", "probe", "doc", "component", "n", "point"]
+    indexed = dealt.withColumn("i", where(F.col("is"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("js") - 1))).withColumn("probe", F.lit(False)).select(*row)
+    probes = dealt.where("component <> main").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("is") - 1))).withColumn("j", where(F.col("js"))).withColumn("probe", F.lit(True)).select(*row)
+    key = ["block", "part", "i", "j"]
+    return indexed.union(probes).repartition(*key).sortWithinPartitions(*key).mapInArrow(_unit_pairs(percent), "a long, b long").distinct()
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, k: int = SHINGLE, unit: int = UNIT) -> DataFrame:
     """Returns id, n_shingles and component_id (the least id reachable by links) for each document."""
-    spark = docs.sparkSession
-    sc = spark.sparkContext
+    with small_batches(docs.sparkSession):
+        return _classes(docs, id_col, text_col, percent, k, unit)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, percent: int, k: int, unit: int) -> DataFrame:
+    sc = docs.sparkSession.sparkContext
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
     both = cut(base.mapInArrow(_profiles(k, SLOTS), "doc long, n long, s1 long, s2 long, mixed long, chunk int, counts binary"))
     profiles = both.where("chunk is null").select("doc", "n", "s1", "s2", "mixed")
@@ -281,23 +358,36 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = sc.broadcast(bit_filter(sets, "mixed"))
     keyed = base.where("doc is not null")
 
-    members = keyed.mapInArrow(_members(k, percent, counts, first), "shingle long, doc long, mixed long")
-    shared = members.groupBy("shingle").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("m"), F.bit_xor("mixed").alias("x"), F.sum(F.col("mixed") % F.lit(1 << 40)).alias("y")).where("low < high")
-    blocks = cut(shared.groupBy("low", "high", "m", "x", "y").agg(F.min("shingle").alias("block")).select("block", "low", "high"))
+    members = keyed.mapInArrow(_members(k, percent, counts, first), "shingle long, doc long, n int")
+    shared = members.groupBy("shingle").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.min("n").alias("least"), F.max("n").alias("most")).where("low < high")
+    alike = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    shared = shared.where((F.col("m") > 2) | alike(F.col("least"), F.col("most")))
+    blocks = shared.groupBy("low", "high", "m", "x").agg(F.min("shingle").alias("block"))
+    blocks = cut(blocks.select("block", "low"))
     wanted = sc.broadcast(bit_filter(blocks, "block"))
-    found = cut(keyed.mapInArrow(_candidates(k, percent, counts, first, wanted), "doc long, n long, point binary, items binary, blocks array<long>"))
-    found_sets = found.select("doc", "n", "point", "items")
-
-    inside = cut(found.select("doc", F.explode("blocks").alias("block")).join(blocks.hint("merge"), "block"))
-    to_low = inside.where("low < doc").select(F.col("low").alias("a"), F.col("doc").alias("b"))
-    to_high = inside.where("doc < high").select(F.col("doc").alias("a"), F.col("high").alias("b"))
-    tried = cut(to_low.union(to_high).distinct())
-    links = _links(tried, found_sets, percent)
+    found = cut(keyed.mapInArrow(_candidates(k, percent, counts, first, wanted), "doc long, n long, coarse binary, point binary, items binary, blocks array<long>"))
+
+    # All members against the least one of their block, by sizes and coarse points, then by points; of what is left few pairs a document.
+    lows = blocks.join(found.select(F.col("doc").alias("low"), F.col("n").alias("na"), F.col("coarse").alias("pa")).hint("merge"), "low")
+    inside = found.select("doc", "n", F.explode("blocks").alias("block"), "coarse")
+    stars = inside.join(lows.hint("merge"), "block").where("low < doc").where(alike(F.col("na"), F.col("n"))).select(F.col("low").alias("a"), F.col("doc").alias("b"), "na", F.col("n").alias("nb"), "pa", F.col("coarse").alias("pb"))
+    stars = cut(stars.mapInArrow(_bound(percent, "<u4"), "a long, b long").distinct())
+    tried = _few(_near(stars, found, percent))
+    links = _links(tried, found, percent)
     labels = cut(components(links))
 
-    members = inside.select("block", "doc").join(found.select("doc", "n", "point").hint("merge"), "doc")
-    rest = _unresolved_pairs(members, labels, percent, unit).join(tried.hint("merge"), ["a", "b"], "left_anti")
-    more = _links(cut(rest), found_sets, percent)
+    # In blocks that are still open, all but the main component against its least member.
+    members = inside.join(blocks.select("block").hint("merge"), "block").select("block", "doc", "n")
+    open_ = _open_blocks(members, labels, percent)
+    again = open_.where("component <> main").select(F.least("doc", "main_least").alias("a"), F.greatest("doc", "main_least").alias("b")).distinct().join(tried.hint("merge"), ["a", "b"], "left_anti")
+    again = _few(_near(cut(again), found, percent))
+    links = links.union(_links(again, found, percent))
+    labels, tried = cut(components(links)), tried.union(again)
+
+    # In blocks that are open even so, all pairs.
+    open_ = _open_blocks(members, labels, percent)
+    rest = _unresolved_pairs(open_, found, percent, unit).join(tried.hint("merge"), ["a", "b"], "left_anti")
+    more = _links(cut(rest), found, percent)
     if more.limit(1).count():
         labels = components(links.union(more))
 
