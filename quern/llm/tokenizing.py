@@ -8,16 +8,24 @@ and the whole text goes to the tokenizer. tests/llm compares both ways.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
-_DOUBLE = re.compile(r" \s|\s$|^\s|[\x1c-\x1f]")
+_DOUBLE = re.compile(r" \s")
 #: Entries in a cache, about 200 bytes each; a full one starts anew.
 CACHE = 1_000_000
+#: Characters of texts that are looked at together.
+CHUNK = 1_000_000
 #: Without the apostrophe, which starts tokens such as 's, and what special tokens are written with.
 _PUNCTUATION = "!\"#$%&()*+,-./:;=?@[]^_`{}~"
 
 
+def _dependent(text: str) -> bool:
+    """Whether white space follows a space or stands at an end, or a separator occurs that libraries class differently."""
+    return text[0].isspace() or text[-1].isspace() or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text or _DOUBLE.search(text) is not None
+
+
 class Encoder:
     _known: dict[str, Encoder] = {}
 
@@ -31,6 +39,8 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         # A byte-level tokenizer keeps a piece's leading space in its first token; the other drops white space.
         self.space = " " if len(self._direct(["a b"])[0]) // 4 == 2 and self._direct(["b"]) != [self._direct(["a b"])[0][4:]] else ""
+        special = [(k, x.content) for k, x in sorted(self.tokenizer.get_added_tokens_decoder().items()) if x.special and x.content.startswith("<|") and not (x.lstrip or x.rstrip)]
+        self.separator_id, self.separator = special[0] if special else (None, None)
         self.first: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {} if self.space else self.first
@@ -42,44 +52,58 @@ class Encoder:
         return cls._known[path]
 
     def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _apart(self, pieces: list[str], space: str) -> list[bytes]:
+        """The ids of each piece, from one text of all with the special token between them."""
+        if not self.separator or any("<|" in x for x in pieces):
+            return self._direct([space + x for x in pieces])
+        ids = np.array(self.tokenizer.encode(self.separator.join(space + x for x in pieces), add_special_tokens=False).ids, "<u4")
+        data, ends = ids.tobytes(), 4 * np.flatnonzero(ids == self.separator_id)
+        return [data[i:j] for i, j in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(data)], strict=True)]
 
     def _learn(self, cache: dict[str, bytes], pieces: set[str], space: str) -> None:
         """Adds pieces to a cache; punctuation after a letter or digit never shares a token with it and is encoded apart."""
-        if len(cache) + len(pieces) > CACHE:
-            cache.clear()
         cores, tails = {}, set()
         for x in pieces:
             core = x.rstrip(_PUNCTUATION)
             if core and core != x and core[-1].lower()[-1].isalnum():
                 cores[x] = core, (tail := x[len(core) :])
                 tails.add(tail)
-        fresh = {cores[x][0] if x in cores else x for x in pieces}
-        missing = [x for x in fresh if x not in cache]
-        cache.update(zip(missing, self._direct([space + x for x in missing]), strict=True))
+        missing = [x for x in {cores[x][0] if x in cores else x for x in pieces} if x not in cache]
+        cache.update(zip(missing, self._apart(missing, space), strict=True) if missing else ())
         if unknown := [x for x in tails if x not in self.tails]:
             self.tails.update(zip(unknown, self._direct(unknown), strict=True))
         cache.update((x, cache[core] + self.tails[tail]) for x, (core, tail) in cores.items())
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes | None] = [None] * len(texts)
-        whole = [k for k, x in enumerate(texts) if x and _DOUBLE.search(x)]
+        out: list[bytes] = [b""] * len(texts)
+        whole = [k for k, x in enumerate(texts) if x and _dependent(x)]
         for k, ids in zip(whole, self._direct([texts[k] for k in whole]), strict=True):
             out[k] = ids
+        done, some, size = set(whole), [], 0
         for k, text in enumerate(texts):
-            if out[k] is None:
-                out[k] = self._pieces(text.split(" ")) if text else b""
+            if text and k not in done:
+                some.append((k, text.split(" ")))
+                size += len(text)
+            if size > CHUNK:
+                self._pieces(some, out)
+                some, size = [], 0
+        self._pieces(some, out)
         return out
 
-    def _pieces(self, pieces: list[str]) -> bytes:
-        later = pieces[1:]
-        if new := {x for x in later if x not in self.later}:
+    def _pieces(self, some: list[tuple[int, list[str]]], out: list[bytes]) -> None:
+        """Encodes a few split texts: what is new in all of them first, then each from the cache."""
+        if len(self.later) + len(self.first) * (self.first is not self.later) > CACHE:
+            self.first.clear()
+            self.later.clear()
+        first, later = {x[0] for _, x in some}, set()
+        for _, x in some:
+            later.update(x[1:])
+        if new := later.difference(self.later):
             self._learn(self.later, new, self.space)
-            if lost := {x for x in later if x not in self.later}:  # the cache started anew
-                self._learn(self.later, lost, self.space)
-        if pieces[0] not in self.first:
-            self._learn(self.first, {pieces[0]}, "")
-            if self.first is self.later and (lost := {x for x in later if x not in self.later}):
-                self._learn(self.later, lost, self.space)
-        return self.first[pieces[0]] + b"".join(map(self.later.__getitem__, later))
+        if new := first.difference(self.first):
+            self._learn(self.first, new, "")
+        for k, x in some:
+            out[k] = self.first[x[0]] + b"".join(map(self.later.__getitem__, x[1:]))
