@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,9 @@ from pyspark.sql import functions as F
 
 from quern.plans.iterate import components, cut, shared_folder  # noqa: F401
 
+# The system's allocator gives memory of Arrow batches back; others keep it in each worker.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Bits of a bit filter: 8 MB, whatever the input.
 FILTER_BITS = 1 << 26
 #: Ids that are broadcast at most, 8 bytes each.
@@ -36,6 +41,29 @@ def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def trimming(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over a partition's batches that gives a worker's freed memory back to the system at the partition's end, where the C library can."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return trimmed
+
+
+def bounded_batches(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Runs what f(df, ...) executes in small batches; what it returns is executed later, in the session's own."""
+
+    @wraps(f)
+    def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+        with small_batches(df.sparkSession):
+            return f(df, *args, **kwargs)
+
+    return run
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs whose id isn't among ids (one column). A row with a null id can't be told from others like it, and stays.
 

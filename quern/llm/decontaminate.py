@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Out, cut, rows, table, without_ids
+from quern.llm.common import Out, bounded_batches, cut, rows, table, trimming, without_ids
 
 SLOTS = 1 << 17
 CHUNKS = 16
@@ -213,7 +213,7 @@ def _matches(idf, spaces, cosine: float, overlap: float, answer: float):
         if out.n:
             yield _rows(out)
 
-    return run
+    return trimming(run)
 
 
 def _rows(out: Out) -> pa.RecordBatch:
@@ -233,6 +233,7 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("item", pa.int64()), ("part", pa.int32()), ("text", pa.binary())]))
 
 
+@bounded_batches
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", cosine: float = COSINE, overlap: float = OVERLAP, answer: float = ANSWER) -> DataFrame:
     """Returns doc_id, item_id, similarity, overlap and answer_overlap for each document and benchmark item that it holds."""
     spark = docs.sparkSession

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, table
+from quern.llm.common import bounded_batches, cut, table
 from quern.llm.tokenizing import Encoder
 
 CAPACITY = 4096
@@ -230,6 +230,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+@bounded_batches
 def packed(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, table, without_ids
+from quern.llm.common import bounded_batches, cut, table, trimming, without_ids
 
 #: Random features; the normal equations are DIM x DIM.
 DIM = 256
@@ -92,7 +92,7 @@ def _equations(features: Features):
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array([x.tobytes() for x in total], pa.binary())], names=["row", "values"])
 
-    return run
+    return trimming(run)
 
 
 def _sum_rows(key: tuple, found: pa.Table) -> pa.Table:
@@ -135,7 +135,7 @@ def _raw(model: Model):
             bins = np.clip((raw + 0.5) * (BINS / 2), 0, BINS - 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(bins), batch.column("y"), pa.array(raw)], names=["bin", "y", "raw"])
 
-    return run
+    return trimming(run)
 
 
 def fit(measured: DataFrame, labels: DataFrame) -> Model:
@@ -166,7 +166,7 @@ def _score(model: Model):
             score = np.clip(model.score(_matrix(batch)), 0, 1) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score)], names=["id", "score"])
 
-    return run
+    return trimming(run)
 
 
 def fold_of(column) -> F.Column:
@@ -179,6 +179,7 @@ def learning_labels(labels: DataFrame, value: str, id_col: str = "doc_id") -> Da
     return known.withColumn("fold", fold_of(F.col("id"))).where(F.col("fold") != HELD_OUT)
 
 
+@bounded_batches
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", value: str = "quality") -> DataFrame:
     """Returns id and score for each document."""
     measured = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_measure, "id long, x array<double>"))
