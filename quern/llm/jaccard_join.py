@@ -9,11 +9,10 @@ a shingle in their prefixes. No link is lost, and what is found is verified on w
 
 1. Documents of equal sets are one: their least id stands for all. Counts of hashed shingles, of a fixed size, give the order.
 2. Blocks are counted by grouped sums; blocks of the same members are one. In each, members are compared to the least member, and
-   components are made of the links; then members outside a block's largest component are compared to its least member. That joins
-   most groups of near copies, however large, with a row or two a member.
+   components are made of the links. That joins most groups of near copies, however large, with a row or two a member.
 3. Blocks that still have members of two components are searched in full, parted by size: members of the largest component need no
    comparison with one another; the others are dealt, block-wise, against all. Each such unit has a bounded number of points, in an
-   R-tree.
+   R-tree. A first pass takes each member's best pair only; a second, over what is still apart, takes all.
 
 Defined cases: a null text has no words; fewer than five words make one shingle; an empty set links with nothing; a row with a null
 id links with nothing and has a null component; rows that repeat an id are linked with one another; an empty table gives an empty
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Out, Rolling, bit_filter, components, cut, mix, passes, rows, small_batches, table, word_hashes, without_ids, words_of
+from quern.llm.common import Out, Rolling, bit_filter, bounded_batches, components, cut, mix, passes, rows, table, trimming, word_hashes, without_ids, words_of
 
 SHINGLE = 5
 #: Similarity in hundredths.
@@ -88,8 +87,9 @@ class Forest:
         self.sizes, self.points, self.trees = sizes, points, {}
         self.groups = np.array([len(p) for p in points])
 
-    def search(self, q: np.ndarray, size: int, percent: int) -> np.ndarray:
-        found = []
+    def search(self, q: np.ndarray, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """As of a tree, over all of them."""
+        found, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
         for groups in np.unique(self.groups):
             level = int(min(groups, len(q)))
             if max(groups, len(q)) > 2 * level:  # sizes over a factor of two apart
@@ -98,8 +98,10 @@ class Forest:
                 mine = np.flatnonzero(self.groups == groups)
                 self.trees[groups, level] = mine, Tree(folded(np.stack([self.points[k] for k in mine]), level), self.sizes[mine])
             mine, tree = self.trees[groups, level]
-            found.append(mine[tree.search(folded(q, level), size, percent)])
-        return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            at, score = tree.search(folded(q, level), size, percent)
+            found.append(mine[at])
+            scores.append(score)
+        return np.concatenate(found), np.concatenate(scores)
 
 
 class Tree:
@@ -115,8 +117,8 @@ class Tree:
             high, small = np.maximum.reduceat(high, at), np.minimum.reduceat(small, at)
             self.levels.append((high, small))
 
-    def search(self, q: np.ndarray, size: int, percent: int) -> np.ndarray:
-        """Positions, in the order given, of points whose bound reaches the overlap needed with a set of this size."""
+    def search(self, q: np.ndarray, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions, in the order given, of points whose bound reaches the overlap needed with a set of this size, and the bound over what is needed."""
         open_ = np.zeros(1, np.int64) if self.levels else np.arange(len(self.points))
         for high, small in reversed(self.levels):
             good = np.minimum(high[open_], q).sum(1) >= needed(small[open_], np.int64(size), percent)
@@ -124,8 +126,9 @@ class Tree:
             below = len(self.points) if high is self.levels[0][0] else len(self.levels[[x[0] is high for x in self.levels].index(True) - 1][0])
             open_ = open_[open_ < below]
         least, most = np.minimum(self.sizes[open_], size), np.maximum(self.sizes[open_], size)
-        good = (np.minimum(self.points[open_], q).sum(1) >= needed(self.sizes[open_], np.int64(size), percent)) & (100 * least >= percent * most)
-        return self.order[open_[good]]
+        bound, need = np.minimum(self.points[open_], q).sum(1), needed(self.sizes[open_], np.int64(size), percent)
+        good = (bound >= need) & (100 * least >= percent * most)
+        return self.order[open_[good]], bound[good] / np.maximum(need[good], 1)
 
 
 def _profiles(k: int, slots: int):
@@ -146,7 +149,7 @@ def _profiles(k: int, slots: int):
         if out.n:
             yield _lists(out)
 
-    return run
+    return trimming(run)
 
 
 def _lists(out: Out) -> pa.RecordBatch:
@@ -181,7 +184,7 @@ def _members(k: int, percent: int, counts, first):
         if out.n:
             yield out.take()
 
-    return run
+    return trimming(run)
 
 
 def _candidates(k: int, percent: int, counts, first, wanted):
@@ -204,7 +207,7 @@ def _candidates(k: int, percent: int, counts, first, wanted):
         if out.n:
             yield _lists(out)
 
-    return run
+    return trimming(run)
 
 
 def _verify(percent: int):
@@ -217,7 +220,7 @@ def _verify(percent: int):
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return run
+    return trimming(run)
 
 
 def _bound(percent: int, kind: str = "<u2"):
@@ -232,7 +235,7 @@ def _bound(percent: int, kind: str = "<u2"):
                 good.append(int(np.minimum(folded(p, level), folded(q, level)).sum()) >= -(-percent * (n + m) // (100 + percent)))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return run
+    return trimming(run)
 
 
 def _among(wanted):
@@ -240,7 +243,7 @@ def _among(wanted):
         for batch in batches:
             yield batch.filter(pa.array(passes(wanted.value, batch.column("doc").to_numpy())))
 
-    return run
+    return trimming(run)
 
 
 def _of_pairs(rows_: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
@@ -271,28 +274,36 @@ def _few(near: DataFrame) -> DataFrame:
     return cut(ends.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b"))
 
 
-def _unit_pairs(percent: int):
-    """Within units (block, part, i, j), sorted: pairs of a probe and an indexed member of another component whose bound holds."""
+def _unit_pairs(percent: int, best: bool):
+    """Within units (block, part, i, j), sorted: pairs of a probe and an indexed member of another component whose bound holds.
+
+    best: of each probe's only the pair with the best bound, and the best with the main component.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def solve(unit: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        probe, doc, comp, n, p = (list(x) for x in zip(*unit, strict=True))
-        probe, doc, comp, n = np.array(probe), np.array(doc, np.int64), np.array(comp, np.int64), np.array(n, np.int64)
+        probe, doc, comp, main, n, p = (list(x) for x in zip(*unit, strict=True))
+        probe, doc, comp, main, n = np.array(probe), np.array(doc, np.int64), np.array(comp, np.int64), main[0], np.array(n, np.int64)
         p = [np.frombuffer(x, "<u2") for x in p]
         base = np.flatnonzero(~probe)
         if not len(base):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         tree, a, b = Forest([p[k] for k in base], n[base]), [], []
         for k in np.flatnonzero(probe):
-            found = base[tree.search(p[k], int(n[k]), percent)]
+            found, score = tree.search(p[k], int(n[k]), percent)
+            found, score = base[found], score[comp[base[found]] != comp[k]]
             found = found[comp[found] != comp[k]]
+            if best and len(found) > 1:
+                order = np.lexsort((doc[found], -score))
+                in_main = order[comp[found[order]] == main][:1]
+                found = found[np.unique(np.concatenate((order[:1], in_main)))]
             a.append(np.minimum(doc[found], doc[k]))
             b.append(np.maximum(doc[found], doc[k]))
         return np.concatenate(a or [np.zeros(0, np.int64)]), np.concatenate(b or [np.zeros(0, np.int64)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, now, unit = Out(schema), None, []
-        for block, part, i, j, *row in rows(batches, "block", "part", "i", "j", "probe", "doc", "component", "n", "point"):
+        for block, part, i, j, *row in rows(batches, "block", "part", "i", "j", "probe", "doc", "component", "main", "n", "point"):
             if (block, part, i, j) != now:
                 if unit:
                     out.add(*solve(unit))
@@ -305,12 +316,12 @@ def _unit_pairs(percent: int):
         if out.n:
             yield out.take()
 
-    return run
+    return trimming(run)
 
 
 def _open_blocks(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Members (block, part, doc, component) of blocks that hold several components, with the block's size m, and the largest
-    component main, its size and its least member. members: block, doc, n.
+    component main and its size. members: block, doc, n.
 
     A block is parted by size: sets whose sizes allow the similarity are in the same class or in neighbouring ones, of which a part
     holds two.
@@ -318,32 +329,28 @@ def _open_blocks(members: DataFrame, labels: DataFrame, percent: int) -> DataFra
     labelled = members.join(labels.select(F.col("id").alias("doc"), "component").hint("merge"), "doc", "left")
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")
     named = cut(labelled.select("block", "doc", F.coalesce("component", "doc").alias("component"), F.explode(F.array(size_class, size_class + 1)).alias("part")))
-    sizes = named.groupBy("block", "part", "component").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("least"))
-    blocks = sizes.groupBy("block", "part").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("components"), F.max(F.struct("c", "component", "least")).alias("main")).where("components > 1")
-    return cut(named.join(blocks.select("block", "part", "m", F.col("main.component").alias("main"), F.col("main.c").alias("main_size"), F.col("main.least").alias("main_least")).hint("merge"), ["block", "part"]))
+    sizes = named.groupBy("block", "part", "component").agg(F.count(F.lit(1)).alias("c"))
+    blocks = sizes.groupBy("block", "part").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("components"), F.max(F.struct("c", "component")).alias("main")).where("components > 1")
+    return cut(named.join(blocks.select("block", "part", "m", F.col("main.component").alias("main"), F.col("main.c").alias("main_size")).hint("merge"), ["block", "part"]))
 
 
-def _unresolved_pairs(dealt: DataFrame, points: DataFrame, percent: int, unit: int) -> DataFrame:
-    """All pairs of different components in open blocks that the points allow. points: doc, n, point."""
+def _unresolved_pairs(dealt: DataFrame, points: DataFrame, percent: int, unit: int, best: bool) -> DataFrame:
+    """All pairs of different components in open blocks that the points allow, or the best of each. points: doc, n, point."""
     ends = dealt.select(F.col("doc").alias("a"), F.col("doc").alias("b"))
     # Indexed members fall to i, the probes (all but the main component) to j.
     dealt = dealt.withColumns({"is": F.ceil(F.col("m") / unit).cast("int"), "js": F.ceil((F.col("m") - F.col("main_size")) / unit).cast("int")})
     dealt = dealt.join(_of_pairs(points, ends, ["doc", "n", "point"]).hint("merge"), "doc")
     where = lambda k: F.pmod(F.xxhash64("doc"), k).cast("int")
-    row = ["block", "part", "i", "j", "probe", "doc", "component", "n", "point"]
+    row = ["block", "part", "i", "j", "probe", "doc", "component", "main", "n", "point"]
     indexed = dealt.withColumn("i", where(F.col("is"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("js") - 1))).withColumn("probe", F.lit(False)).select(*row)
     probes = dealt.where("component <> main").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("is") - 1))).withColumn("j", where(F.col("js"))).withColumn("probe", F.lit(True)).select(*row)
     key = ["block", "part", "i", "j"]
-    return indexed.union(probes).repartition(*key).sortWithinPartitions(*key).mapInArrow(_unit_pairs(percent), "a long, b long").distinct()
+    return indexed.union(probes).repartition(*key).sortWithinPartitions(*key).mapInArrow(_unit_pairs(percent, best), "a long, b long").distinct()
 
 
+@bounded_batches
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, k: int = SHINGLE, unit: int = UNIT) -> DataFrame:
     """Returns id, n_shingles and component_id (the least id reachable by links) for each document."""
-    with small_batches(docs.sparkSession):
-        return _classes(docs, id_col, text_col, percent, k, unit)
-
-
-def _classes(docs: DataFrame, id_col: str, text_col: str, percent: int, k: int, unit: int) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
     both = cut(base.mapInArrow(_profiles(k, SLOTS), "doc long, n long, s1 long, s2 long, mixed long, chunk int, counts binary"))
@@ -376,20 +383,16 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, percent: int, k: int,
     links = _links(tried, found, percent)
     labels = cut(components(links))
 
-    # In blocks that are still open, all but the main component against its least member.
+    # In blocks that are still open, the best pairs by points, which mostly link; then, in what is open even so, all pairs.
     members = inside.join(blocks.select("block").hint("merge"), "block").select("block", "doc", "n")
-    open_ = _open_blocks(members, labels, percent)
-    again = open_.where("component <> main").select(F.least("doc", "main_least").alias("a"), F.greatest("doc", "main_least").alias("b")).distinct().join(tried.hint("merge"), ["a", "b"], "left_anti")
-    again = _few(_near(cut(again), found, percent))
-    links = links.union(_links(again, found, percent))
-    labels, tried = cut(components(links)), tried.union(again)
-
-    # In blocks that are open even so, all pairs.
-    open_ = _open_blocks(members, labels, percent)
-    rest = _unresolved_pairs(open_, found, percent, unit).join(tried.hint("merge"), ["a", "b"], "left_anti")
-    more = _links(cut(rest), found, percent)
-    if more.limit(1).count():
-        labels = components(links.union(more))
+    for best in (True, False):
+        rest = _unresolved_pairs(_open_blocks(members, labels, percent), found, percent, unit, best)
+        rest = cut(rest.join(tried.hint("merge"), ["a", "b"], "left_anti"))
+        more = _links(rest, found, percent)
+        if more.limit(1).count():
+            links = cut(links.union(more))
+            labels = cut(components(links))
+        tried = tried.union(rest)
 
     named = sets.join(labels.select(F.col("id").alias("doc"), "component").hint("merge"), "doc", "left").select("s1", "s2", "n", F.coalesce("component", "doc").alias("component_id"))
     classed = profiles.join(named.hint("merge"), ["s1", "s2", "n"], "left")

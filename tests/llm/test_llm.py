@@ -242,7 +242,7 @@ def test_tree_search_is_exact():
     sizes = np.array([len(s) for s in sets])
     forest = jaccard_join.Forest([jaccard_join.point(s) for s in sets], sizes)
     for k, s in enumerate(sets):
-        found = set(forest.search(jaccard_join.point(s), len(s), 80).tolist())
+        found = set(forest.search(jaccard_join.point(s), len(s), 80)[0].tolist())
         for j, t in enumerate(sets):
             both = len(np.intersect1d(s, t))
             if 100 * both >= 80 * (len(s) + len(t) - both):
