@@ -3,7 +3,9 @@
 Benchmark items become passages of at most 128 words, in blocks of as many passages as a latent space has dimensions. A task for each
 block takes the randomised SVD of its passages' TF-IDF rows; document frequencies are counted over all documents, hashed to slots of
 a fixed number. All documents are then read once for a bounded number of blocks: sliding windows of words are projected into each
-space, and windows whose cosine with a passage reaches `cosine` are candidates. (The part of a window's TF-IDF that lies in a block's
+space, and windows whose cosine with a passage reaches `cosine` are candidates. A passage has windows of about its own length, so that
+rarer words around a short one don't dilute it, and WINDOW words besides. A copy that keeps only a passage's common words can have any
+cosine; stretches that hold as many of a passage's rarer words as `overlap` leaves no copy without are therefore candidates too. (The part of a window's TF-IDF that lies in a block's
 words bounds its cosine from above, so that most windows need no projection.) A candidate stands if the longest common subsequence of
 the passage and the words around the window covers enough of the passage, and of its answer: the passage's last quarter.
 
@@ -32,8 +34,10 @@ PASSAGE = 128
 RANK = 256
 #: Blocks whose spaces are sent to executors at once, about 5 MB each.
 BLOCKS = 6
-#: Words in a window; windows start half of that apart. Blocks with a passage of fewer than SHORT words have small windows too.
-WINDOW, SMALL_WINDOW, SHORT = 48, 12, 6
+#: Words in a window; windows start half of that apart. A passage has windows of the least width that holds it, and of WINDOW words.
+WINDOW, WIDTHS = 48, (4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
+#: Words of a text that are searched at once, and how far such parts reach into the next; multiples of half of each width.
+PART, REACH = 16_320, 384
 COSINE = 0.3
 #: Norm of what is left of a passage without its weightiest words.
 REST = 0.15
@@ -92,10 +96,25 @@ def randomised_svd(a: np.ndarray, rank: int, seed: int = 11) -> np.ndarray:
     return vt[: min(rank, len(vt))].T
 
 
+class Postings:
+    """By word of a space: the passages that it counts for, with weights."""
+
+    def __init__(self, found: list[tuple[int, int, float]], words: int):
+        found.sort()
+        self.passage, self.weight = np.array([x[1] for x in found], np.int64), np.array([x[2] for x in found])
+        self.start = np.searchsorted(np.array([x[0] for x in found], np.int64), np.arange(words + 2))
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place in at, passage and weight of all postings of the words there."""
+        many = self.start[at + 1] - self.start[at]
+        k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.start[at], many)
+        return np.repeat(np.arange(len(at)), many), self.passage[k], self.weight[k]
+
+
 class Space:
     """A block's latent space: rows of the projection for the slots that its passages use, and the passages in it."""
 
-    def __init__(self, items: list[int | None], texts: list[bytes], idf: np.ndarray, rank: int):
+    def __init__(self, items: list[int | None], texts: list[bytes], idf: np.ndarray, rank: int, overlap: float = OVERLAP):
         self.items, self.words = items, [terms(x) for x in texts]
         slots = [slots_of(x) for x in self.words]
         self.slots = np.unique(np.concatenate(slots))
@@ -107,16 +126,24 @@ class Space:
         basis = randomised_svd(a, rank)
         self.passages, self.basis = (a @ basis).astype(np.float32), basis.astype(np.float32)
         # Of each passage the weightiest words, by word: whose they are and how much they weigh.
-        heads = []
+        heads, rarer = [], []
+        self.need = np.ones(len(slots))
         for k, row in enumerate(a):
             order = np.argsort(-row, kind="stable")
             left = np.sqrt(np.maximum(0, 1 - np.cumsum(row[order] ** 2)))
             heads += [(x, k, row[x]) for x in order[: int((left > REST).sum()) + 1] if row[x]]
-        heads.sort()
-        self.head_word = np.array([x[0] for x in heads], np.int64)
-        self.head_passage, self.head_weight = np.array([x[1] for x in heads], np.int64), np.array([x[2] for x in heads])
-        self.head_start = np.searchsorted(self.head_word, np.arange(len(self.slots) + 2))
-        self.widths = (WINDOW,) if min(map(len, self.words)) >= SHORT else (WINDOW, SMALL_WINDOW)
+            # A copy has `most` of the passage's words; without the commonest, at most half of `most`, that leaves so many of the rest.
+            used, times = np.unique(slots[k], return_counts=True)
+            order = np.argsort(idf[used], kind="stable")
+            most = max(1, int(np.ceil(overlap * len(slots[k]) - 1e-9)))
+            common = int(np.searchsorted(np.cumsum(times[order]), most // 2, "right"))
+            self.need[k] = most - times[order[:common]].sum()
+            rarer += [(x, k, 1.0) for x in np.searchsorted(self.slots, used[order[common:]])]
+        self.heads, self.rarer = Postings(heads, len(self.slots)), Postings(rarer, len(self.slots))
+        # By width of windows: the passages whose own it is, and those that have it.
+        own = np.array(WIDTHS)[np.searchsorted(WIDTHS, [len(x) for x in self.words])]
+        self.own = {w: of for w in WIDTHS if len(of := np.flatnonzero(own == w))}
+        self.widths = self.own | {WINDOW: np.arange(len(own))}
         self.at = None
 
     def positions(self, slots: np.ndarray) -> np.ndarray:
@@ -128,10 +155,10 @@ class Space:
         return self.at[slots]
 
 
-def _space(idf, rank: int):
+def _space(idf, rank: int, overlap: float):
     def run(key: tuple, found: pa.Table) -> pa.Table:
         found = found.sort_by([("item", "ascending"), ("part", "ascending")])
-        space = Space(found["item"].to_pylist(), found["text"].to_pylist(), idf.value, rank)
+        space = Space(found["item"].to_pylist(), found["text"].to_pylist(), idf.value, rank, overlap)
         return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "space": pa.array([pickle.dumps(space)], pa.binary())})
 
     return run
@@ -152,19 +179,29 @@ def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
 
 
 def _candidates(slots: np.ndarray, idf: np.ndarray, space: Space, cosine: float) -> dict[int, list[tuple[float, int, int]]]:
-    """By passage: similarity, start and end of the windows that reach the cosine."""
+    """By passage: similarity, and start and end of the words to look at, of the windows that reach the cosine or hold enough rarer words."""
+    found: dict[int, list[tuple[float, int, int]]] = {}
+    for first in range(0, max(1, len(slots) - REACH), PART):
+        _part(slots[first : first + PART + REACH], first, idf, space, cosine, found)
+    return found
+
+
+def _part(slots: np.ndarray, first: int, idf: np.ndarray, space: Space, cosine: float, found: dict[int, list[tuple[float, int, int]]]) -> None:
     at = space.positions(slots)
     weight = idf[slots].astype(np.float64)
     total = np.concatenate(([0], np.cumsum(weight**2)))  # a term's weight is sqrt(count) * idf, so that squares add up word by word
-    n_heads = space.head_start[at + 1] - space.head_start[at]
-    place = np.repeat(np.arange(len(slots)), n_heads)
-    if not len(place):
-        return {}
-    head = np.arange(len(place)) - np.repeat(np.cumsum(n_heads) - n_heads, n_heads) + np.repeat(space.head_start[at], n_heads)
-    product, passage, many = weight[place] * space.head_weight[head], space.head_passage[head], len(space.passages)
-    found: dict[int, list[tuple[float, int, int]]] = {}
-    for width in space.widths:
-        step = width // 2
+
+    def cosines(of: np.ndarray, i: int, j: int) -> np.ndarray:
+        known = np.flatnonzero(at[i:j] < len(space.slots)) + i
+        used, times = np.unique(slots[known], return_counts=True)
+        projected = (np.sqrt(times) * idf[used]) @ space.padded[space.positions(used)]
+        return space.passages[of] @ projected / max(float(np.sqrt(total[j] - total[i])), 1e-12)
+
+    places, passages, weights = space.heads.of(at)
+    products = weight[places] * weights
+    for width, of in space.widths.items() if len(places) else ():
+        step, many = width // 2, len(of)
+        place, passage, product = _among(of, len(space.passages), places, passages, products)
         count = max(1, -(-(len(slots) - step) // step))  # windows start at multiples of step; each word is in two
         last = np.minimum(place // step, count - 1)
         sums = np.bincount(last * many + passage, product, count * many)
@@ -176,13 +213,29 @@ def _candidates(slots: np.ndarray, idf: np.ndarray, space: Space, cosine: float)
         hopeful = (sums.reshape(count, many) >= (cosine - REST) * norm[:, None]).any(1)
         for k in np.flatnonzero(hopeful):
             i, j = int(start[k]), int(end[k])
-            known = np.flatnonzero(at[i:j] < len(space.slots)) + i
-            used, times = np.unique(slots[known], return_counts=True)
-            projected = (np.sqrt(times) * idf[used]) @ space.padded[space.positions(used)]
-            cosines = space.passages @ projected / max(float(norm[k]), 1e-12)
-            for p in np.flatnonzero(cosines >= cosine):
-                found.setdefault(int(p), []).append((float(cosines[p]), i, j))
-    return found
+            near = cosines(of, i, j)
+            for q in np.flatnonzero(near >= cosine):
+                p = int(of[q])
+                reach = len(space.words[p]) // 2 + 4
+                found.setdefault(p, []).append((float(near[q]), max(0, first + i - reach), first + j + reach))
+    places, passages, ones = space.rarer.of(at)
+    for width, of in space.own.items() if len(places) else ():
+        step, many = width // 2, len(of)
+        place, passage, one = _among(of, len(space.passages), places, passages, ones)
+        count = -(-len(slots) // step)
+        held = np.bincount((place // step + 2) * many + passage, one, (count + 2) * many).reshape(count + 2, many)
+        enough = held[:-2] + held[1:-1] + held[2:] >= space.need[of]  # three steps hold all of a copy, wherever it starts
+        for k, q in np.argwhere(enough):
+            i, j = max(0, (int(k) - 2) * step), min((int(k) + 1) * step, len(slots))
+            found.setdefault(int(of[q]), []).append((float(cosines(of[q : q + 1], i, j)[0]), first + i, first + j))
+
+
+def _among(of: np.ndarray, passages: int, place: np.ndarray, passage: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The postings of the passages in of, numbered by their order there."""
+    number = np.full(passages, -1)
+    number[of] = np.arange(len(of))
+    among = number[passage] >= 0
+    return place[among], number[passage[among]], weight[among]
 
 
 def _matches(idf, spaces, cosine: float, overlap: float, answer: float):
@@ -199,8 +252,7 @@ def _matches(idf, spaces, cosine: float, overlap: float, answer: float):
                     tail = passage[-(-3 * len(passage) // 4) - 1 :] if len(passage) > 4 else passage
                     best = None
                     for similarity, i, j in sorted(windows, reverse=True):
-                        reach = len(passage) // 2 + 4
-                        near = words[max(0, i - reach) : j + reach]
+                        near = words[i:j]
                         share, last = common_subsequence(passage, near) / len(passage), common_subsequence(tail, near) / len(tail)
                         if share >= overlap and last >= answer:
                             best = max(best or (0.0, 0.0, 0.0), (share, last, similarity))
@@ -245,7 +297,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     blocks = max(1, -(-count // (RANK * 3 // 4)))  # hashed blocks come out at RANK passages at most, or nearly
     idf = sc.broadcast(inverse_frequencies(base.select("text")))
     dealt = passages.withColumn("block", F.pmod(F.xxhash64("item", "part"), F.lit(blocks)))
-    spaces = cut(dealt.groupBy("block").applyInArrow(_space(idf, RANK), "block long, space binary"))
+    spaces = cut(dealt.groupBy("block").applyInArrow(_space(idf, RANK, overlap), "block long, space binary"))
     found = spark.createDataFrame([], "doc_id long, item_id long, similarity double, overlap double, answer_overlap double")
     for first in range(0, blocks, BLOCKS) if count else []:
         some = [pickle.loads(r["space"]) for r in spaces.where(F.col("block").between(first, first + BLOCKS - 1)).orderBy("block").toLocalIterator()]  # BLOCKS rows at most

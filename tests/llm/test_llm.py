@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quern.llm import decontaminate, exact_dedup, jaccard_join, packing, quality, secrets, substring_dedup, token_store, toxicity, warc
@@ -275,6 +276,38 @@ def test_contaminated(spark):
     assert decontaminate.contaminated(frame(spark, rows), benchmark.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("length", [4, 6, 8, 10, 12, 20, 40])
+@pytest.mark.parametrize("kept", [1.0, 0.8, 0.6])
+def test_short_and_common_items_are_found(length, kept):
+    """Every copy that brute force accepts, among rarer words, with other items of 60 words in its block."""
+    random = np.random.default_rng(length)
+    idf = np.log(2 + np.arange(decontaminate.SLOTS) % 97).astype(np.float32)
+    common = sorted(WORDS, key=lambda w: idf[zlib.crc32(w.encode()) & (decontaminate.SLOTS - 1)])
+    items = [" ".join(random.choice(common[:1500], length)).encode() for _ in range(20)] + [prose(k, 60).encode() for k in range(5)]
+    space = decontaminate.Space(list(range(25)), items, idf, decontaminate.RANK)
+    search = decontaminate._matches(Held(idf), Held([space]), decontaminate.COSINE, decontaminate.OVERLAP, decontaminate.ANSWER)
+    texts, wanted = [], set()
+    for doc, item in enumerate(items[:20]):
+        words = item.split()
+        stay = set(random.permutation(length)[: int(np.ceil(kept * length))].tolist())
+        copy = [w if k in stay else b"other" for k, w in enumerate(words)]
+        tail = words[-(-3 * length // 4) - 1 :] if length > 4 else words
+        if decontaminate.common_subsequence(words, copy) >= decontaminate.OVERLAP * length and decontaminate.common_subsequence(tail, copy) >= decontaminate.ANSWER * len(tail):
+            wanted.add((doc, doc))
+        around = [w.encode() for w in random.choice(common[2500:], 200)]
+        texts.append(b" ".join([*around[: 90 + doc], *copy, *around[90 + doc :]]))
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(20)), "text": texts})
+    found = {x for b in search(iter([batch])) for x in zip(b["doc_id"].to_pylist(), b["item_id"].to_pylist(), strict=True)}
+    assert wanted and wanted <= found
+
+
+class Held:
+    """A broadcast value without Spark."""
+
+    def __init__(self, value):
+        self.value = value
+
+
 def test_common_subsequence():
     random = np.random.default_rng(1)
     for _ in range(50):
