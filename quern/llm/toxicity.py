@@ -2,7 +2,7 @@
 
 Labels are of documents only. A sentence's score is the logistic function of a bias and the weights of its distinct words, by parts; a document
 is toxic unless all its sentences are not: 1 - prod(1 - p). The weights are fitted by the gradient of that likelihood on a bounded
-sample of labelled rows (SAMPLE rows, those with the least hashes; their words come to the driver, no texts). All documents are then
+sample of labelled rows (SAMPLE rows, those with the least hashes; the words of all their sentences come to the driver, no texts). All documents are then
 scored, and sentences that score SENTENCE or more are located.
 
 Defined cases: a null or empty text has no sentence and scores 0; without labels, or with one value only, weights stay at their
@@ -26,8 +26,6 @@ from quern.llm.quality import HELD_OUT, fold_of, learning_labels
 
 #: Labelled rows that weights are fitted on, at most; those with the least hash of their id.
 SAMPLE = 3_500
-#: Words a labelled row brings at most to the fit; of longer texts, evenly spaced sentences. Scoring reads whole texts.
-SAMPLE_WORDS = 2_000
 #: Labelled rows that a part of a word has to occur in, in the sample, to have a weight.
 LEAST = 6
 PARTS = (4, 5, 6)
@@ -60,11 +58,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bags = []
         for text in batch.column("text").to_pylist():
-            found = [sorted(set(x)) for x in sentences(text)]
-            total = sum(map(len, found))
-            if total > SAMPLE_WORDS:
-                found = found[:: -(-total // SAMPLE_WORDS)]
-            bags.append(b"\n".join(b" ".join(x) for x in found))
+            bags.append(b"\n".join(b" ".join(sorted(set(x))) for x in sentences(text)))
         yield pa.RecordBatch.from_arrays([batch.column("rank"), batch.column("y"), pa.array(bags, pa.binary())], names=["rank", "y", "bag"])
 
 

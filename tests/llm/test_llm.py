@@ -152,6 +152,16 @@ def test_offending_sentences(spark):
     assert [text[x.start : x.end].strip() for x in found[200].offending] == ["you zzbadword"]
 
 
+def test_long_documents_teach_with_all_sentences(spark):
+    """The only offending sentence of a long text, at any place in it, is evidence in the fit."""
+    plain = ["a fine day with nice words here and some more there"] * 400
+    rows = [(k, ". ".join(plain)) for k in range(20)]
+    rows += [(20 + k, ". ".join([*plain[: 151 + 2 * k], "you zzbadword", *plain[151 + 2 * k :]])) for k in range(20)]
+    labels = spark.createDataFrame([(k, int(k >= 20)) for k in range(40)], "doc_id long, toxic int")
+    found = {r.doc_id: r.score for r in toxicity.toxicity_scores(frame(spark, rows), labels).collect()}
+    assert min(found[k] for k in range(20, 40)) > 0.5 > max(found[k] for k in range(20))
+
+
 def brute_substring(rows, window):
     words = {d: re.findall(r"[^\x20\x09-\x0D]+", t or "") for d, t in rows}
     owner = {}
