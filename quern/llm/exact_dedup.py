@@ -68,6 +68,11 @@ from t
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that stay, with their columns; a row that repeats an id and a text comes once; rows with a null id stay."""
-    stay = without_ids(docs, exact_dedup(docs).where("not kept").select("doc_id"))
+    gone = exact_dedup(docs).where("not kept")
     repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return stay.dropDuplicates(["doc_id", "text"]) if repeated else stay
+    if not repeated:
+        return without_ids(docs, gone.select("doc_id"))
+    # Where ids repeat, an id alone doesn't tell which of its texts is a copy.
+    keys = cut(gone.select(F.col("doc_id").alias("__quern_key"), F.col("text_sha256").alias("__quern_digest")))
+    same = (F.col("doc_id") == F.col("__quern_key")) & (F.sha2(normalized(F.col("text")), 256) == F.col("__quern_digest"))
+    return docs.join(keys.hint("merge"), same, "left_anti").dropDuplicates(["doc_id", "text"])

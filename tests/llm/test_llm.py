@@ -59,6 +59,12 @@ def test_exact_dedup_stage_keeps_one_row(spark):
     assert sorted(r.doc_id for r in out.where("doc_id is not null").collect()) == [2, 4, 6, 7, 8, 9]
 
 
+def test_exact_dedup_stage_keeps_other_texts_of_an_id(spark):
+    rows = [(1, "copied"), (1, "only here"), (2, "Copied"), (3, "alone")]
+    stay = exact_dedup.stage(spark, frame(spark, rows), SMALL).select("doc_id", "text").collect()
+    assert sorted(map(tuple, stay)) == [(1, "only here"), (2, "Copied"), (3, "alone")]
+
+
 @pytest.mark.parametrize("name,end", [("byte_bpe_50k.json", 0), ("word_bpe_49k.json", 1)])
 def test_pieces_encode_like_whole_texts(docs, name, end):
     import public_tokenizers
