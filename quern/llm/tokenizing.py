@@ -1,8 +1,10 @@
 """Encoding of whole texts by a tokenizer file, with a cache of pieces.
 
 Neither tokenizer here lets a token reach across a space that stands between two other characters, so that a text is the pieces
-between its spaces, encoded one by one; equal pieces are encoded once. Where white space follows a space, pieces aren't independent,
-and the whole text goes to the tokenizer. tests/llm compares both ways.
+between its spaces, encoded one by one; equal pieces are encoded once. New pieces go to the tokenizer in one text, with the spaces
+between them that they have in their own texts; which ids are whose is told by the marks that tokens carry, of a space before them or
+of a word's end, and checked by their number. Where white space follows a space, pieces aren't independent, and the whole text goes to
+the tokenizer. tests/llm compares both ways.
 """
 
 from __future__ import annotations
@@ -13,12 +15,12 @@ from array import array
 import numpy as np
 
 _DOUBLE = re.compile(r" \s")
-#: Entries in a cache, about 200 bytes each; a full one starts anew.
-CACHE = 1_000_000
+#: Entries in the caches of a worker, about 250 bytes each; full ones keep what the last texts used.
+CACHE = 300_000
+#: Characters of the pieces in the caches.
+CACHE_CHARACTERS = 12_000_000
 #: Characters of texts that are looked at together.
-CHUNK = 1_000_000
-#: Without the apostrophe, which starts tokens such as 's, and what special tokens are written with.
-_PUNCTUATION = "!\"#$%&()*+,-./:;=?@[]^_`{}~"
+CHUNK = 3_000_000
 
 
 def _dependent(text: str) -> bool:
@@ -41,9 +43,13 @@ class Encoder:
         self.space = " " if len(self._direct(["a b"])[0]) // 4 == 2 and self._direct(["b"]) != [self._direct(["a b"])[0][4:]] else ""
         special = [(k, x.content) for k, x in sorted(self.tokenizer.get_added_tokens_decoder().items()) if x.special and x.content.startswith("<|") and not (x.lstrip or x.rstrip)]
         self.separator_id, self.separator = special[0] if special else (None, None)
+        # Tokens that start a piece after a space, or that end a word.
+        marked = (lambda x: x.startswith("\u0120")) if self.space else (lambda x: x.endswith("</w>"))
+        self.marked = np.zeros(self.size, bool)
+        self.marked[[k for x, k in self.tokenizer.get_vocab(with_added_tokens=False).items() if marked(x)]] = True
         self.first: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {} if self.space else self.first
+        self.held = 0
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -54,27 +60,39 @@ class Encoder:
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
     def _apart(self, pieces: list[str], space: str) -> list[bytes]:
-        """The ids of each piece, from one text of all with the special token between them."""
-        if not self.separator or any("<|" in x for x in pieces):
+        """The ids of each piece."""
+        if any("<|" in x for x in pieces):
+            return self._direct([space + x for x in pieces])
+        if space:
+            ids = self._ids(space + space.join(pieces))
+            cuts = np.flatnonzero(self.marked[ids])
+            if len(cuts) == len(pieces) and not cuts[0]:
+                return _cut(ids.tobytes(), [*cuts.tolist(), len(ids)])
+        elif not self.space and all(map(str.isalpha, pieces)):
+            ids = self._ids(" ".join(pieces))
+            cuts = np.flatnonzero(self.marked[ids]) + 1
+            if len(cuts) == len(pieces) and cuts[-1] == len(ids):
+                return _cut(ids.tobytes(), [0, *cuts.tolist()])
+        if not self.separator:
             return self._direct([space + x for x in pieces])
-        ids = np.array(self.tokenizer.encode(self.separator.join(space + x for x in pieces), add_special_tokens=False).ids, "<u4")
+        ids = self._ids(self.separator.join(space + x for x in pieces))
         data, ends = ids.tobytes(), 4 * np.flatnonzero(ids == self.separator_id)
         return [data[i:j] for i, j in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(data)], strict=True)]
 
     def _learn(self, cache: dict[str, bytes], pieces: set[str], space: str) -> None:
-        """Adds pieces to a cache; punctuation after a letter or digit never shares a token with it and is encoded apart."""
-        cores, tails = {}, set()
+        """Adds pieces to a cache."""
+        kinds: list[list[str]] = [[], [], []]
         for x in pieces:
-            core = x.rstrip(_PUNCTUATION)
-            if core and core != x and core[-1].lower()[-1].isalnum():
-                cores[x] = core, (tail := x[len(core) :])
-                tails.add(tail)
-        missing = [x for x in {cores[x][0] if x in cores else x for x in pieces} if x not in cache]
-        cache.update(zip(missing, self._apart(missing, space), strict=True) if missing else ())
-        if unknown := [x for x in tails if x not in self.tails]:
-            self.tails.update(zip(unknown, self._direct(unknown), strict=True))
-        cache.update((x, cache[core] + self.tails[tail]) for x, (core, tail) in cores.items())
+            kinds[2 if x.isalpha() else 0 if "<|" in x else 1].append(x)
+        if self.space:  # a space tells each piece's start
+            kinds[1:] = [kinds[1] + kinds[2]]
+        for kind in filter(None, kinds):
+            cache.update(zip(kind, self._apart(kind, space), strict=True))
+        self.held += sum(map(len, pieces))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -95,15 +113,23 @@ class Encoder:
 
     def _pieces(self, some: list[tuple[int, list[str]]], out: list[bytes]) -> None:
         """Encodes a few split texts: what is new in all of them first, then each from the cache."""
-        if len(self.later) + len(self.first) * (self.first is not self.later) > CACHE:
-            self.first.clear()
-            self.later.clear()
         first, later = {x[0] for _, x in some}, set()
         for _, x in some:
             later.update(x[1:])
+        if len(self.later) + len(self.first) * (self.first is not self.later) > CACHE or self.held > CACHE_CHARACTERS:
+            stay = {x: ids for x in later if (ids := self.later.get(x)) is not None}
+            self.first.clear()
+            self.later.clear()
+            self.later.update(stay)
+            self.held = sum(map(len, stay))
         if new := later.difference(self.later):
             self._learn(self.later, new, self.space)
         if new := first.difference(self.first):
             self._learn(self.first, new, "")
         for k, x in some:
             out[k] = self.first[x[0]] + b"".join(map(self.later.__getitem__, x[1:]))
+
+
+def _cut(data: bytes, bounds: list[int]) -> list[bytes]:
+    """The 4-byte ids between neighbouring bounds."""
+    return [data[4 * i : 4 * j] for i, j in zip(bounds, bounds[1:], strict=False)]

@@ -81,20 +81,39 @@ def test_token_store(spark, docs):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     encoder = Encoder(path)
-    rows = docs + [(None, "null id"), (10**9, None)]
+    # Ids repeat with equal and with other texts, one of them in a third of all rows.
+    rows = docs + [(None, "null id"), (None, "another"), (10**9, None), (10**9, "twice"), (10**9, "twice"), (8, prose(2, 30_000))] + [(77, prose(k % 90, 30)) for k in range(len(docs) // 2)]
     store = token_store.TokenStore.write(frame(spark, rows), shared_folder(spark), path, end_id=0)
-    want, start = {}, 0
-    for d, t in sorted(rows, key=lambda r: -(2**62) if r[0] is None else r[0]):
-        ids = encoder.encode([t or ""])[0] + b"\0\0\0\0"
-        want[d], start = (start, len(ids) // 4, zlib.crc32(ids)), start + len(ids) // 4
+    want = sorted((-(2**63) if d is None else d, encoder.encode([t or ""])[0] + b"\0\0\0\0") for d, t in rows)
     starts = {r["shard"]: r["start"] for r in store.manifest.collect()}
-    got = {None if r.key == token_store.NULL_KEY else r.key: (starts[r["shard"]] + r["offset"], r["n"], zlib.crc32(r["ids"])) for r in store.scan(frame(spark, rows)).collect()}
-    assert got == want
-    assert store.get(docs[3][0]).astype("<u4").tobytes() == encoder.encode([docs[3][1]])[0] + b"\0\0\0\0"
-    assert store.get(10**12) is None and store.get(None) is not None
+    got = sorted((starts[r["shard"]] + r["offset"], r["key"], r["n"], bytes(r["ids"])) for r in store.scan(frame(spark, rows)).collect())
+    assert sorted((k, ids) for _, k, _, ids in got) == want
+    at = 0
+    for (start, key, n, ids), (k, _) in zip(got, want, strict=True):
+        assert (start, key, n) == (at, k, len(ids) // 4)
+        at += n
+    digests = {(r["key"], r["offset"], r["shard"]): r["ids_crc32"] for r in store.scan(frame(spark, rows), digest=True).collect()}
+    assert sorted(digests.values()) == sorted(zlib.crc32(ids) for _, ids in want)
+    assert [x.astype("<u4").tobytes() for x in store.get(docs[3][0])] == [ids for k, ids in want if k == docs[3][0]]
+    assert len(store.get(77)) == sum(d == 77 for d, _ in rows) and len(store.get(10**9)) == 3
+    assert store.get(10**12) == [] and len(store.get(None)) == 2
     assert token_store.TokenStore.write(frame(spark, []), shared_folder(spark), path, end_id=0).scan(frame(spark, [])).count() == 0
 
 
+def test_a_run_goes_on_over_batches(tmp_path):
+    """Runs of equal keys that reach over Arrow batches and shards."""
+    keys = [1, 1, 2, 2, 2, 2, 3, 3, 3, 4]
+    shards = [0, 0, 0, 0, 0, 1, 1, 1, 1, 1]
+    ids = [bytes([k] * (2 + 2 * (k % 3))) for k in range(10)]
+    rows = pa.table({"shard": pa.array(shards, pa.int32()), "key": pa.array(keys, pa.int64()), "ids": pa.array(ids, pa.binary())})
+    for size in (1, 2, 3, 10):
+        folder = f"{tmp_path}/{size}"
+        out = pa.Table.from_batches(token_store._write_shards(folder, 2)(iter(rows.to_batches(max_chunksize=size)))).to_pylist()
+        assert [(r["key"], r["shard"], r["first"], r["documents"]) for r in out] == [(1, 0, 0, 2), (2, 0, 2, 3), (2, 1, 0, 1), (3, 1, 1, 3), (4, 1, 4, 1)]
+        read = [x for r in out for x in token_store._Shards(folder, 2).documents(r["shard"], r["offset"], r["first"], r["documents"], r["n"], block=2)]
+        assert [np.frombuffer(x, "<u4").astype("<u2").tobytes() for _, _, x in read] == ids
+
+
 def test_perfect_hash_is_minimal():
     hashes = token_store.key_hash(np.arange(50_000))
     mph = token_store.PerfectHash.build(hashes)
@@ -362,6 +381,14 @@ def test_packing(spark, docs):
     assert packing.packed(frame(spark, [])).count() == 0
 
 
+def test_packing_ends_in_bounded_blocks(spark):
+    """Pieces of which no two fit together: rounds end when they settle nothing, and no block grows; equal rows are packed each."""
+    pieces = spark.range(50_000).selectExpr("cast(null as long) as id", "0 as piece", "0L as start", "if(id % 50 = 0, 1000, 2100) as length", "7L as ids_crc32")
+    found = packing.pack(pieces, population=2, offspring=1, islands=1, epochs=1).groupBy("sequence_id").agg({"length": "sum", "offset": "count"}).toDF("sequence_id", "n", "total").collect()
+    totals = [(r["total"], r["n"]) if r["total"] > r["n"] else (r["n"], r["total"]) for r in found]
+    assert sum(n for _, n in totals) == 50_000 and max(t for t, _ in totals) <= 4096 and len(totals) == 49_000
+
+
 def test_evolved_packing_is_whole():
     lengths = np.random.default_rng(2).integers(1, 4096, 300).tolist()
     first = packing.Packing.made(sorted(range(300), key=lambda x: -lengths[x]), lengths, 4096)
