@@ -4,11 +4,12 @@ Documents become pieces of at most `capacity` tokens. A full piece is a sequence
 number; each block is solved by several islands, each a task of its own with a population of packings. A generation's crossover
 injects whole well-filled bins of one parent into another, empties the bins that hold the same pieces, and best-fits the displaced
 pieces; mutation empties the least filled bins. Between epochs each island's elite goes to the next island of its block. Then bins
-filled to `good` stand, and the pieces of all other bins meet again in fewer blocks, until one block holds them all.
+filled to `good` stand, and the pieces of all other bins meet again in blocks of the same bounded number, for as long as a round lowers
+the number of pieces in such bins by GAIN; what is left then stands too. No block grows with the input.
 
-Defined cases: a null or empty text is its end id alone; a row with a null id, or rows that repeat an id, are packed each; a document
-longer than the capacity is cut into pieces, the last of which may be shorter; an empty table gives an empty result; other columns
-are not read. Ties fall to the lower position, and random numbers come from the block and island, so that equal inputs give equal
+Defined cases: a null or empty text is its end id alone; a row with a null id, or rows that repeat an id, are packed each (rows are
+dealt to blocks by their place, not their id); a document longer than the capacity is cut into pieces, the last of which may be
+shorter; an empty table gives an empty result; other columns are not read. Ties fall to the lower position, and random numbers come from the block and island, so that equal inputs give equal
 packings.
 """
 
@@ -36,6 +37,8 @@ POPULATION = 5
 OFFSPRING = 10
 #: Fill from which a bin stands.
 GOOD = 0.995
+#: Part of the pieces in unfilled bins that a round has to settle for another to follow.
+GAIN = 0.05
 
 _piece = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64())])
 _island = pa.schema([("block", pa.int64()), ("island", pa.int32()), ("elite", pa.binary()), ("fitness", pa.float64())])
@@ -180,24 +183,24 @@ def _place(capacity: int, good: float):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS, population: int = POPULATION, offspring: int = OFFSPRING, good: float = GOOD) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS, population: int = POPULATION, offspring: int = OFFSPRING, good: float = GOOD, gain: float = GAIN) -> DataFrame:
     """Adds sequence_id and offset to pieces (id, piece, start, length, ids_crc32)."""
     spark = pieces.sparkSession
     columns = ["id", "piece", "start", "length", "ids_crc32"]
-    whole = F.struct(*columns)
-    pieces = cut(pieces)
+    whole = F.struct("place", *columns)
+    # A row's place in the written table tells rows apart, however often an id repeats.
+    pieces = cut(pieces).select(*columns, F.monotonically_increasing_id().alias("place"))
     # Ids of sequences: the round above bit 56, the block above bit 20, the bin. Full pieces are a sequence each, in round 0.
     full = pieces.where(F.col("length") == capacity)
-    numbered = full.select(*columns, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    done = [cut(numbered)]
-    left, n = pieces.where(F.col("length") < capacity), None
+    done = [full.select(*columns, F.col("place").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    left, before = pieces.where(F.col("length") < capacity), None
     for turn in range(1, 100):
         count = left.count()
         if not count:
             break
-        blocks = max(1, -(-count // block)) if n is None else max(1, min(-(-count // block), n // 2))
-        last, n = blocks == 1, blocks
-        dealt = left.select(F.pmod(F.xxhash64("id", "piece", F.lit(turn)), F.lit(blocks)).alias("block"), whole.alias("row"))
+        blocks = -(-count // block)
+        last, before = blocks == 1 or before is not None and count > (1 - gain) * before, count
+        dealt = left.select(F.pmod(F.xxhash64("place", F.lit(turn)), F.lit(blocks)).alias("block"), whole.alias("row"))
         # A block is a row of about BLOCK structs; which is which must not change between tasks, so it is written.
         grouped = cut(dealt.groupBy("block").agg(F.array_sort(F.collect_list("row")).alias("rows")).withColumn("lengths", F.expr("transform(rows, x -> x.length)")))
         tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -216,8 +219,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, island
         placed = solved.mapInArrow(_place(capacity, good), "block long, slot int, bin int, offset long, stands boolean")
         rows = grouped.select("block", F.posexplode("rows").alias("slot", "row"))
         settled = cut(rows.join(placed, ["block", "slot"]).select("row.*", (F.lit(turn << 56) + F.shiftleft(F.col("block"), 20) + F.col("bin")).alias("sequence_id"), "offset", "stands"))
-        done.append(settled.where("stands").drop("stands"))
-        left = settled.where("not stands").select(*columns)
+        done.append(settled.where("stands").drop("stands", "place"))
+        left = settled.where("not stands").select(*columns, "place")
         if last:
             break
     out = done[0]
