@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.plans.iterate import in_blocks
+
+#: Seed words that go to every task at once.
+MOST_SEEDS = 5_000
 NOT_FOUND, PROBLEMS = "Not_found", "Processing_problems"
 
 
@@ -115,7 +121,8 @@ def terms_by_category(descriptors: DataFrame, seeds: DataFrame) -> DataFrame:
     """category and its sorted terms: all terms of descriptors (name, terms) of which one contains a seed (category, seed)."""
     known = descriptors.select("name", F.array_distinct(F.concat(F.array("name"), F.coalesce("terms", F.expr("cast(array() as array<string>)")))).alias("terms"))
     low = known.withColumn("low", F.lower(F.array_join("terms", "\n")))
-    hits = low.join(F.broadcast(seeds), F.contains(F.col("low"), F.lower("seed")))  # seeds are a list of a hundred words
+    # Seeds are a list of some hundred words; a long one comes in blocks.
+    hits = reduce(DataFrame.union, [low.join(F.broadcast(block), F.contains(F.col("low"), F.lower("seed"))) for block in in_blocks(seeds.select("category", "seed"), MOST_SEEDS, "category", "seed")])
     return hits.select("category", F.explode("terms").alias("term")).distinct().groupBy("category").agg(F.array_sort(F.collect_list("term")).alias("terms"))
 
 

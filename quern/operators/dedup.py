@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,26 +12,36 @@ from quern.plans.iterate import components
 
 #: Pairs with fewer differing bits are near.
 DISTANCE = 8
-BANDS = 8
+#: Bits of each of ten bands; three of them make a key.
+BANDS = (7, 7, 7, 7, 6, 6, 6, 6, 6, 6)
+KEY_BANDS = 3
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+_MASKS = [((1 << n) - 1) << sum(BANDS[:k]) for k, n in enumerate(BANDS)]
+_KEYS = list(combinations(range(len(BANDS)), KEY_BANDS))
 
 
 def near_pairs(hashes: DataFrame, distance: int = DISTANCE, id_col: str = "id", hash_col: str = "hash") -> DataFrame:
     """Pairs (a, b, distance), a < b, whose hashes differ in fewer than `distance` bits.
 
-    Of eight bands of eight bits one is equal if at most seven bits differ, so that pairs are sought among rows with an equal band;
-    a pair is taken in the first band it shares. Rows with equal hashes are one to begin with, and are paired afterwards.
+    Of ten bands three are equal if at most seven bits differ, so that pairs are sought among rows that agree in three bands, of some 19
+    bits together; a pair is taken at its first three. Rows with equal hashes are one to begin with, and are paired afterwards.
     """
-    if distance > BANDS:
+    if distance > len(BANDS) - KEY_BANDS + 1:
         raise ValueError("bands find at most seven differing bits")
     distinct = hashes.select(F.col(hash_col).alias("h")).distinct()
-    band = lambda h, k: F.shiftrightunsigned(h, 8 * k).bitwiseAND(255)
-    banded = distinct.select("h", F.posexplode(F.array(*[band(F.col("h"), k) for k in range(BANDS)])).alias("band", "value"))
-    left, right = banded.toDF("x", "band", "value"), banded.toDF("y", "band", "value")
-    pairs = left.join(right, ["band", "value"]).where("x < y").withColumn("distance", F.bit_count(F.col("x").bitwiseXOR(F.col("y")))).where(F.col("distance") < distance)
-    first = F.lit(BANDS)
-    for k in reversed(range(BANDS)):
-        first = F.when(band(F.col("x"), k) == band(F.col("y"), k), k).otherwise(first)
-    pairs = pairs.where(F.col("band") == first).select("x", "y", "distance")
+    masks = [_signed(sum(_MASKS[k] for k in key)) for key in _KEYS]
+    keyed = distinct.select("h", F.posexplode(F.array(*[F.col("h").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("key", "value"))
+    left, right = keyed.toDF("x", "key", "value"), keyed.toDF("y", "key", "value")
+    differ = F.col("x").bitwiseXOR(F.col("y"))
+    pairs = left.join(right, ["key", "value"]).where("x < y").withColumn("distance", F.bit_count(differ)).where(F.col("distance") < distance)
+    equal = F.array_compact(F.array(*[F.when(differ.bitwiseAND(F.lit(_signed(m)).cast("long")) == 0, k) for k, m in enumerate(_MASKS)]))
+    bands = F.get(F.array(*[F.array(*map(F.lit, key)) for key in _KEYS]), F.col("key"))
+    pairs = pairs.where(F.slice(equal, 1, KEY_BANDS) == bands).select("x", "y", "distance")
     same = distinct.select(F.col("h").alias("x"), F.col("h").alias("y"), F.lit(0).alias("distance"))
     mirrored = pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), "distance")
     all_pairs = pairs.union(mirrored).union(same)

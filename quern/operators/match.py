@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.similarity import cosine
+from quern.functions.text import triple_sentence
 
 THRESHOLDS = (0.70, 0.75, 0.80, 0.85, 0.90)
 
@@ -78,13 +79,20 @@ def with_metrics(rows: DataFrame) -> DataFrame:
     return out.withColumn("f1", share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def compare_variants(matched: DataFrame, predicted: DataFrame, gold: DataFrame, variants: list[str], group: str = "image", threshold: float = 0.85) -> DataFrame:
-    """sweep() for each value of a column variant of matched and predicted."""
-    out = None
-    for name in variants:
-        one = sweep(matched.where(F.col("variant") == name), predicted.where(F.col("variant") == name), gold, group, (threshold,)).select(F.lit(name).alias("variant"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+def compare_variants(matched: DataFrame, predicted: DataFrame, gold: DataFrame, variant: str = "variant", group: str = "image", threshold: float = 0.85) -> DataFrame:
+    """Metrics of each variant at a threshold, over the groups that it shares with gold: all variants in one pass."""
+    both = predicted.select(variant, group).distinct().join(gold.select(group).distinct(), group)
+    counts = lambda df, name, keys: df.join(both, keys).groupBy(variant).agg(F.count(F.lit(1)).alias(name))
+    hits = matched.where(F.col("sim") >= threshold).groupBy(variant).agg(F.count(F.lit(1)).alias("tp"))
+    rows = counts(predicted.select(variant, group), "n", [variant, group]).join(counts(gold.select(group), "m", [group]), variant).join(hits, variant, "left").withColumn("tp", F.coalesce("tp", F.lit(0).cast("long")))
+    return with_metrics(rows.select(variant, F.lit(float(threshold)).alias("threshold"), "tp", (F.col("n") - F.col("tp")).alias("fp"), (F.col("m") - F.col("tp")).alias("fn")))
+
+
+def ordered_triples(rows: DataFrame, group: str = "image", ord_col: str = "ord", s: str = "subject", p: str = "predicate", o: str = "object") -> DataFrame:
+    """group and triples: the sentences of a group's triples in their order, without those that miss a part. A group is what one figure holds."""
+    whole = rows.where(F.col(s).isNotNull() & F.col(p).isNotNull() & F.col(o).isNotNull())
+    listed = F.array_sort(F.collect_list(F.struct(F.col(ord_col).alias("ord"), triple_sentence(s, p, o).alias("sentence"))))
+    return whole.groupBy(group).agg(F.transform(listed, lambda x: x.sentence).alias("triples"))
 
 
 def histogram(similarities: DataFrame, low: float = 0.5, high: float = 1.0, bins: int = 10, column: str = "sim") -> DataFrame:

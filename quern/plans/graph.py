@@ -7,12 +7,13 @@ An edge is one for each (src, predicate_raw, dst, source, mechanism); n counts t
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import relations, text
-from quern.plans.iterate import components
+from quern.plans.iterate import components, cut
 
 # Labels that a reviewer may give.
 LABELS = ("Anatomical_Structure", "Biological_Process", "Cell", "Cell_Phenotype", "Chemical", "Disease", "Gene", "Phenotype", "Protein", "Pathway")
@@ -62,44 +63,71 @@ def split_properties(triples: DataFrame, core: list[str]) -> DataFrame:
     return triples.withColumns(made)
 
 
-def resolve_nodes(mentions: DataFrame) -> DataFrame:
+#: What tells mentions apart.
+VALUES = ("name", "curie", "iri", "raw_id")
+
+
+def _same(left: str, right: str, prefix: str = "") -> Column:
+    """Equal values, or both missing."""
+    return reduce(lambda x, y: x & y, [F.col(f"{left}.{prefix}{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in VALUES])
+
+
+def resolve_nodes(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes from mentions (ord, name, curie, iri, raw_id, labels array, props map): mentions that share a key are one node.
 
     The node's key is the best of its keys (curie, iri, id, name; then the least). Names and properties are those of the last mention
-    that has them; labels add up. Returns key, name, ontology_id, iri, raw_id, labels, props, keys.
+    that has them; labels add up. Returns nodes (key, name, ontology_id, iri, raw_id, labels, props, keys) and the key of each distinct
+    mention (name, curie, iri, raw_id, key). Names are normalized, and keys and components made, for distinct mentions only.
     """
-    keyed = mentions.withColumn("keys", text.all_keys(text.canon_name("name"), "curie", "iri", "raw_id")).where("size(keys) > 0")
+    distinct = mentions.groupBy(*VALUES).agg(F.max("ord").alias("ord"), F.array_distinct(F.flatten(F.collect_set("labels"))).alias("labels"))
+    keyed = cut(distinct.withColumn("keys", text.all_keys(text.canon_name("name"), "curie", "iri", "raw_id")).where("size(keys) > 0"))
     pairs = keyed.select(F.element_at("keys", 1).alias("a"), F.explode("keys").alias("b")).distinct()
     roots = components(pairs)
-    keyed = keyed.withColumn("first", F.element_at("keys", 1)).join(roots.select(F.col("id").alias("first"), "component"), "first", "left").withColumn("component", F.coalesce("component", "first"))
+    keyed = cut(keyed.withColumn("first", F.element_at("keys", 1)).join(roots.select(F.col("id").alias("first"), "component"), "first", "left").withColumn("component", F.coalesce("component", "first")))
     rank = F.when(F.col("k").startswith("curie:"), 0).when(F.col("k").startswith("iri:"), 1).when(F.col("k").startswith("id:"), 2).otherwise(3)
-    best = keyed.select("component", F.explode("keys").alias("k")).groupBy("component").agg(F.min_by("k", F.struct(rank, "k")).alias("key"), F.array_sort(F.collect_set("k")).alias("keys"))
+    best = cut(keyed.select("component", F.explode("keys").alias("k")).groupBy("component").agg(F.min_by("k", F.struct(rank, "k")).alias("key"), F.array_sort(F.collect_set("k")).alias("keys")))
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(c)
     scalars = keyed.withColumns({"curie": text.norm_curie("curie"), "iri": text.norm_iri("iri"), "raw_id": F.trim(text.na_to_null("raw_id"))}).groupBy("component").agg(last("name"), last("curie"), last("iri"), last("raw_id"))
     labels = keyed.select("component", F.explode("labels").alias("l")).where(~text.is_na("l")).groupBy("component").agg(F.array_sort(F.collect_set(text.sanitize_label(alias("l", LABEL_ALIASES)))).alias("labels"))
-    props = keyed.select("component", "ord", F.explode("props").alias("k", "v")).groupBy("component", "k").agg(F.max_by("v", "ord").alias("v")).groupBy("component").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("props"))
+    owners = keyed.select(*VALUES, "component").alias("k")
+    each = mentions.where("size(props) > 0").select(*VALUES, "ord", F.explode("props").alias("p", "v")).groupBy(*VALUES, "p").agg(F.max_by("v", "ord").alias("v"), F.max("ord").alias("ord"))
+    props = each.alias("m").join(owners, _same("m", "k")).groupBy("component", "p").agg(F.max_by("v", "ord").alias("v")).groupBy("component").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("p", "v")))).alias("props"))
     out = best.join(scalars, "component").join(labels, "component", "left").join(props, "component", "left")
-    return out.select("key", "name", F.col("curie").alias("ontology_id"), "iri", "raw_id", F.coalesce("labels", F.expr("cast(array() as array<string>)")).alias("labels"), F.coalesce("props", F.expr("cast(map() as map<string, string>)")).alias("props"), "keys")
+    nodes = out.select("key", "name", F.col("curie").alias("ontology_id"), "iri", "raw_id", F.coalesce("labels", F.expr("cast(array() as array<string>)")).alias("labels"), F.coalesce("props", F.expr("cast(map() as map<string, string>)")).alias("props"), "keys")
+    return nodes, keyed.select(*VALUES, "component").join(best.select("component", "key"), "component").drop("component")
 
 
 def build(triples: DataFrame) -> Graph:
-    """A graph from triples: ord, subject, predicate, object, and where they are there source, mechanism, subject_/object_ ontology_id, iri, id and type."""
+    """A graph from triples: ord, subject, predicate, object, and where they are there source, mechanism, subject_/object_ ontology_id, iri, id and type.
+
+    Triples are grouped by their values as they stand, and only what is left meets the keys of the mentions; edges are summed once more.
+    """
     columns = {c.lower() for c in triples.columns}
     optional = lambda c: F.col(c) if c in columns else F.lit(None).cast("string")
     known = ["ord", "subject", "predicate", "object", "source", "mechanism"] + [f"{x}_{y}" for x in ("subject", "object") for y in ("ontology_id", "iri", "id", "type")]
     clean = split_properties(clean_triples(triples), known)
-    sides = []
-    for x in ("subject", "object"):
-        sides.append(clean.select(F.col("ord"), F.lit(x).alias("side"), F.trim(x).alias("name"), optional(f"{x}_ontology_id").alias("curie"), optional(f"{x}_iri").alias("iri"), optional(f"{x}_id").alias("raw_id"), F.array_compact(F.array(optional(f"{x}_type"))).alias("labels"), F.col(f"{x}_props").alias("props")))
-    mentions = sides[0].unionByName(sides[1])
-    nodes = resolve_nodes(mentions)
-    lookup = nodes.select("key", F.explode("keys").alias("any_key"))
-    ends = [m.withColumn("any_key", text.entity_key(text.canon_name("name"), "curie", "iri", "raw_id")).join(lookup, "any_key").select("ord", F.col("key").alias(k)) for m, k in zip(sides, ("src", "dst"), strict=True)]
-    rows = clean.select("ord", relations.raw_type("predicate").alias("predicate_raw"), relations.relation_of("predicate").alias("relation"), alias(optional("source"), SOURCE_ALIASES).alias("source"), optional("mechanism").alias("mechanism"), F.col("edge_props").alias("props"))
-    edges = rows.join(ends[0], "ord").join(ends[1], "ord").groupBy("src", "dst", "predicate_raw", "relation", "source", "mechanism").agg(F.count(F.lit(1)).alias("n"), F.max_by("props", "ord").alias("props"))
+    values = lambda x: dict(zip(VALUES, (F.trim(x), optional(f"{x}_ontology_id"), optional(f"{x}_iri"), optional(f"{x}_id")), strict=True))
+    sides = [clean.select("ord", *[v.alias(k) for k, v in values(x).items()], F.array_compact(F.array(optional(f"{x}_type"))).alias("labels"), F.col(f"{x}_props").alias("props")) for x in ("subject", "object")]
+    nodes, lookup = resolve_nodes(sides[0].unionByName(sides[1]))
+    ends = [v.alias(f"{p}_{k}") for p, x in (("src", "subject"), ("dst", "object")) for k, v in values(x).items()]
+    facts = [relations.raw_type("predicate").alias("predicate_raw"), relations.relation_of("predicate").alias("relation"), alias(optional("source"), SOURCE_ALIASES).alias("source"), optional("mechanism").alias("mechanism")]
+    rows = clean.select("ord", *ends, *facts, F.col("edge_props").alias("props"))
+    same = ["predicate_raw", "relation", "source", "mechanism"]
+    whole = rows.groupBy(*[f"{p}_{k}" for p in ("src", "dst") for k in VALUES], *same).agg(F.count(F.lit(1)).alias("n"), F.max_by("props", "ord").alias("props"), F.max("ord").alias("ord"))
+    lookup = cut(lookup)
+    for p in ("src", "dst"):
+        whole = whole.alias("t").join(lookup.alias("k"), _same("t", "k", f"{p}_")).select("t.*", F.col("k.key").alias(p))
+    edges = whole.groupBy("src", "dst", *same).agg(F.sum("n").alias("n"), F.max_by("props", "ord").alias("props"))
     return Graph(nodes.drop("keys"), edges.withColumn("bel_relation", relations.bel_of("relation")))
 
 
+def preview(triples: DataFrame) -> DataFrame:
+    """A dry run: how many triples there are, and how many would make edges. Nothing is written."""
+    usable = ~(text.is_na("subject") | text.is_na("predicate") | text.is_na("object"))
+    counts = triples.agg(F.count(F.lit(1)).alias("triples"), F.count_if(usable).alias("usable"))
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).alias("count")) for c in ("triples", "usable")])).alias("r")).select("r.*")
+
+
 def unique_keys(nodes: DataFrame) -> DataFrame:
     """Keys that stand for more than one row: empty where the constraint holds."""
     return nodes.groupBy("key").count().where("count > 1")

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors see: below spark.checkpoint.dir, or below a temporary one where that is unset."""
+    """A new folder that the driver and all executors see: below spark.checkpoint.dir, or, with a local master only, below a temporary one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quern-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
@@ -30,6 +32,13 @@ def cut(df: DataFrame, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_blocks(df: DataFrame, most: int, *keys: str) -> list[DataFrame]:
+    """df whole where it has at most `most` rows, else in parts by a hash of keys, of about that many rows each. For lists that are broadcast."""
+    count = df.count()
+    blocks = max(1, -(-count // most))
+    return [df] if blocks == 1 else [df.where(F.pmod(F.xxhash64(*keys), F.lit(blocks)) == k) for k in range(blocks)]
+
+
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """Connected components of edges (a, b) of any ordered type: a row (id, component) for each id in an edge; component is the least id reachable.
 
@@ -93,11 +102,12 @@ def all_shortest_paths(starts: DataFrame, ends: DataFrame, edges: DataFrame, dep
     return paths.where("left = 0").select("start", "end", "hops", "nodes")
 
 
-def louvain(edges: DataFrame, levels: int = 3, rounds: int = 6) -> DataFrame:
+def louvain(edges: DataFrame) -> DataFrame:
     """Communities (id, community) of undirected weighted edges by local moves that raise modularity, then by moves of whole communities.
 
     All vertices look at their neighbours' communities at once, from grouped sums; by turns a half of them, drawn by a hash, moves, so
-    that two vertices seldom swap. A level's result is kept only if modularity rose. The least id names a community.
+    that two vertices seldom swap. Rounds go on for as long as two of them raise modularity, and levels likewise, so that both end: what
+    didn't raise it is dropped. The least id names a community.
     """
     base = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("w"))
     graph = cut(base)
@@ -106,12 +116,13 @@ def louvain(edges: DataFrame, levels: int = 3, rounds: int = 6) -> DataFrame:
     member = cut(ids.select("id", F.col("id").alias("community")))
     if not total:
         return member
-    for _ in range(levels):
+    while True:
         both = cut(graph.where("a <> b").select("a", "b", "w").union(graph.where("a <> b").select("b", "a", "w")))
         own = graph.where("a = b").select("a", (F.col("w") * 2).alias("w"))
         degree = cut(both.select("a", "w").union(own).groupBy("a").agg(F.sum("w").alias("k")))
-        labels = cut(degree.select("a", F.col("a").alias("c")))
-        for turn in range(rounds):
+        best_labels = labels = cut(degree.select("a", F.col("a").alias("c")))
+        reached, turn = _modularity(both, own, degree, labels, total), 0
+        while True:
             volume = labels.join(degree, "a").groupBy("c").agg(F.sum("k").alias("v"))
             links = both.join(labels.select(F.col("a").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("kin"))
             mine = labels.join(degree, "a").select("a", F.col("c").alias("was"), "k")
@@ -121,9 +132,13 @@ def louvain(edges: DataFrame, levels: int = 3, rounds: int = 6) -> DataFrame:
             best = gains.unionByName(stay).groupBy("a", "was").agg(F.max_by(F.struct("c", "gain"), F.struct("gain", (F.col("c") == F.col("was")).alias("same"), F.xxhash64("c"))).alias("to"))
             free = F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(2)) == 0
             moved = cut(best.select("a", F.when(free, F.col("to.c")).otherwise(F.col("was")).alias("c"), (free & (F.col("to.c") != F.col("was"))).alias("moved")))
-            labels = moved.select("a", "c")
-            if not moved.where("moved").limit(1).count() and turn:
-                break
+            labels, turn = moved.select("a", "c"), turn + 1
+            if turn % 2 == 0:
+                now = _modularity(both, own, degree, labels, total)
+                if now <= reached + 1e-9:
+                    break
+                best_labels, reached = labels, now
+        labels = best_labels
         merged = cut(member.join(labels.select(F.col("a").alias("community"), "c"), "community").select("id", F.col("c").alias("community")))
         if modularity(base, merged) <= modularity(base, member) + 1e-9:
             break
@@ -134,6 +149,14 @@ def louvain(edges: DataFrame, levels: int = 3, rounds: int = 6) -> DataFrame:
     return member.join(least, "community").select("id", F.col("name").alias("community"))
 
 
+def _modularity(both: DataFrame, own: DataFrame, degree: DataFrame, labels: DataFrame, total: float) -> float:
+    """Of a level's labels (a, c): both has each edge in both directions, own each loop's double weight, degree each vertex's weight."""
+    named = both.join(labels, "a").join(labels.toDF("b", "d"), "b")
+    inside = (named.where("c = d").agg(F.sum("w")).first()[0] or 0.0) + (own.agg(F.sum("w")).first()[0] or 0.0)
+    spread = degree.join(labels, "a").groupBy("c").agg(F.sum("k").alias("k")).agg(F.sum((F.col("k") / (2 * total)) ** 2)).first()[0]
+    return inside / (2 * total) - spread
+
+
 def modularity(edges: DataFrame, member: DataFrame) -> float:
     """Of a partition (id, community) of undirected edges (a, b, w)."""
     named = edges.join(member.toDF("a", "x"), "a").join(member.toDF("b", "y"), "b")

@@ -152,10 +152,11 @@ from j group by 1, 2 order by 6 desc, 2, 1 limit 10"""
 _first, _second = ("supplier#00000000", "nation_1"), ("supplier#00000001", "nation_2")
 for _name, _types in (("targets", None), ("targets_regulatory", ("INHIBITS", "BINDS"))):
     on_graph(_name, lambda g, t=_types: Q.targets(g, _first, _second, types=t), _TARGET.format(labels=among(Q.TARGET_LABELS), first=like("dn", *_first), second=like("dn", *_second), types=f"and t in {among(_types)}" if _types else ""))
-_REPURPOSE = "select a.sn as potential_drug, a.dn as process_target, a.t as drug_effect, a.source as evidence_source1, b.dn as outcome, b.t as mechanism, b.source as evidence_source2 from e a join e b on a.dst = b.src and a.id <> b.id where (a.sl = 'Chemical' or {0}) and {1} and {2}"
+_REPURPOSE = """, a as materialized (select * from e where (sl = 'Chemical' or {0}) and {1}), b as materialized (select * from e where {2})
+select a.sn as potential_drug, a.dn as process_target, a.t as drug_effect, a.source as evidence_source1, b.dn as outcome, b.t as mechanism, b.source as evidence_source2 from a join b on a.dst = b.src and a.id <> b.id"""
 for _name, _fold in (("repurposing", True), ("repurposing_case", False)):
-    _own = like("a.sn", "supplier") if _fold else "contains(a.sn, 'supplier')"
-    on_graph(_name, lambda g, f=_fold: Q.repurposing(g, ("supplier#00000000", "nation_1"), ("nation_2", "customer#00000000"), name_words=("supplier",), fold_case=f), _REPURPOSE.format(_own, like("a.dn", "supplier#00000000", "nation_1"), like("b.dn", "nation_2", "customer#00000000")))
+    _own = like("sn", "supplier") if _fold else "contains(sn, 'supplier')"
+    on_graph(_name, lambda g, f=_fold: Q.repurposing(g, ("supplier#00000000", "nation_1"), ("nation_2", "customer#00000000"), name_words=("supplier",), fold_case=f), _REPURPOSE.format(_own, like("dn", "supplier#00000000", "nation_1"), like("dn", "nation_2", "customer#00000000")))
 on_graph("mechanism_frequency", lambda g: Q.mechanism_frequency(g, 500), """, c as (select source, mechanism, count(*) as c from edges group by 1, 2)
 select source, coalesce(array_to_string(list_sort(list(mechanism) filter (c >= 500)), '|'), '') as frequent_mechanisms, count(*) filter (c >= 500) as frequent_mechanism_count, count(*) as total_unique_mechanisms from c group by 1""")
 on_graph("mechanism_cross", Q.mechanism_cross, """, c as (select mechanism, count(*) filter (source = 'GPT') as a, count(*) filter (source = 'CBM') as b from edges group by 1)
@@ -357,17 +358,6 @@ def similarity_histogram(spark, d):
     return match.histogram(match.pair_similarities(*sides(spark, d)).withColumn("sim", F.round("sim", 9)), -1.0, 1.0)
 
 
-@query("threshold_sweep")
-def threshold_sweep(spark, d):
-    predicted, gold = sides(spark, d)
-    return match.sweep(match.assignments(match.pair_similarities(predicted, gold)), predicted, gold, thresholds=(0.0, 0.1, 0.2, 0.3, *match.THRESHOLDS))
-
-
-@query("assignments")
-def assignments(spark, d):
-    return match.assignments(match.pair_similarities(*sides(spark, d)))
-
-
 @query("best_category", """with m as (select label, p, avg(embedding[p]::double) as v from embeddings, range(1, 65) r(p) group by 1, 2), k as (select label, list(v order by p) as e from m group by 1),
 s as (select v.vec_id, k.label, round(list_cosine_similarity(v.embedding::double[], k.e), 9) as score from embeddings v, k), b as (select * from s qualify row_number() over (partition by vec_id order by score desc, label) = 1)
 select vec_id, case when score > 0 and score >= 0.3 then 'c' || label else 'Uncategorized' end as category, round(greatest(score, 0), 6) as score from b""")
@@ -393,15 +383,10 @@ def near_dup_pairs(spark, d):
     return dedup.near_pairs(table(spark, d, "events").select(F.col("event_id").alias("id"), value.alias("hash")))
 
 
-@query("remove_poorer")
-def remove_poorer(spark, d):
-    t = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("ord"), similarity.sign_hash(F.col("embedding")).alias("hash"), (F.col("vec_id") % 7 + 1).alias("pixels"))
-    return dedup.remove_poorer(t, dedup.near_pairs(t))
-
-
 # Linking and building.
 def triples(spark, d) -> DataFrame:
-    items = table(spark, d, "lineitem").withColumn("ord", F.monotonically_increasing_id())  # on the scan, before any join: the same in each use
+    # Order and line number tell line items apart, and make an ordinal that is the same in each use.
+    items = table(spark, d, "lineitem").withColumn("ord", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
     return items.join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(
         "ord", F.col("p_name").alias("subject"), F.lit("inhibits").alias("predicate"), F.col("s_name").alias("object"), F.col("l_returnflag").alias("source"), F.lit("Chemical").alias("subject_type"), F.lit("Gene").alias("object_type")
     )

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions.text import contains_any, display_name
 from quern.operators.clean import numeric_or_zero, resolve_header
 from quern.plans.graph import Graph
-from quern.plans.graph_queries import joined
+from quern.plans.graph_queries import has_label, joined
 from quern.plans.iterate import all_shortest_paths, cut, distances
 
 DEGREES = {"deg_cbm": "CBM", "deg_gpt": "GPT", "deg_gpt_fulltext": "GPT-fulltext"}
@@ -97,3 +98,31 @@ def labels_of(text) -> F.Column:
     """An array of a bracketed list such as [Disease, Gene]."""
     c = F.col(text) if isinstance(text, str) else text
     return F.filter(F.transform(F.split(F.regexp_replace(c, r"^\[|\]$", ""), ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def label_hubs(g: Graph, labels, limit: int | None = None) -> DataFrame:
+    """Nodes with one of the labels and their degrees by source, the cytokine hubs' table: cytokine, labels, degrees, key."""
+    wanted = g.nodes.where(has_label(F.col("labels"), labels))
+    out = degrees_by_source(g).join(wanted, "key").select(F.col("name").alias("cytokine"), joined("labels").alias("labels"), "deg_total", *DEGREES, "key")
+    return out.orderBy(F.desc("deg_total"), "key").limit(limit) if limit else out
+
+
+def of_anchor(table: DataFrame, column: str, anchor: str) -> DataFrame:
+    """Rows whose value is the anchor in any case."""
+    return table.where(F.upper(column) == anchor.upper())
+
+
+def bars(top: DataFrame) -> DataFrame:
+    """What a stacked bar chart of a top table shows: name, series, value, place (0 at the bottom, so that the first row is on top), a bar's total and the axis's end."""
+    series = F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).alias("value")) for c in DEGREES])
+    place = W.orderBy(F.desc("_n"))  # a top table has some twenty rows
+    rows = top.withColumn("_n", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(place).cast("long") - 1).withColumn("total", sum((F.col(c) for c in DEGREES), F.lit(0)).cast("long"))
+    most = rows.agg(F.max("total").alias("axis_max"))
+    return rows.select("name", F.explode(series).alias("s"), "place", "total").select("name", "s.series", "s.value", "place", "total").join(F.broadcast(most))  # one row
+
+
+def star(leaves: DataFrame, ord_col: str = "ord") -> DataFrame:
+    """Adds x and y to the leaves of a star: evenly round its centre, the first on top, in their order. A figure's star has some dozens."""
+    order = W.orderBy(ord_col)
+    angle = 2 * F.pi() * (F.row_number().over(order) - 1) / F.count(F.lit(1)).over(W.partitionBy()) + F.pi() / 2
+    return leaves.withColumn("_a", angle).withColumns({"x": F.cos("_a"), "y": F.sin("_a")}).drop("_a")

@@ -112,7 +112,7 @@ def prompt(template: str, **columns: str) -> F.Column:
 def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
     writer = df.write.mode("overwrite")
     if kind == "csv":
-        writer.option("header", True).csv(path)
+        writer.option("header", True).option("escape", '"').csv(path)  # quotes are doubled, as the reader takes them
     elif kind in ("parquet", "json", "orc"):
         writer.format(kind).save(path)
     else:

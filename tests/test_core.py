@@ -187,9 +187,21 @@ def test_best_category(spark):
         categorize.best_category(rows, words, "median")
 
 
-def test_entity_groups_and_forms():
-    assert [linking.entity_group(x) for x in ("AD", "IL6", "ang ii", "rs123", "TLR7", "kinase", "T cell", "dopamine", "Wnt pathway", "high fever", "lung cancer", "xyz")] == ["disease_disorder", "gene_protein", "chemical_drug", "variant_hgvs", "gene_protein", "gene_protein", "anatomy_tissue_cell", "chemical_drug", "pathway_process", "phenotype_sign_symptom", "disease_disorder", "disease_disorder"]
-    assert linking.entity_group("xyz", "a new variant") == "organism_taxon"
+def test_entity_groups_and_forms(spark):
+    def groups(*mentions):
+        df = spark.createDataFrame([(k, m, c) for k, (m, c) in enumerate(mentions)], "k int, entity string, context string")
+        return [r.g for r in df.withColumn("g", linking.group_of("entity", "context")).orderBy("k").collect()]
+
+    assert groups(*[(x, None) for x in ("AD", "IL6", "ang ii", "rs123", "TLR7", "kinase", "T cell", "dopamine", "Wnt pathway", "high fever", "lung cancer", "xyz")]) == ["disease_disorder", "gene_protein", "chemical_drug", "variant_hgvs", "gene_protein", "gene_protein", "anatomy_tissue_cell", "chemical_drug", "pathway_process", "phenotype_sign_symptom", "disease_disorder", "disease_disorder"]
+    assert groups(("xyz", "a new variant"), ("Aβ", None), ("AB", None), ("p.V600E", None), ("ELISA kit", None), ("nerve tissue", None), ("DUX4", None), ("dux4", None)) == [
+        "organism_taxon", "chemical_drug", "gene_protein", "variant_hgvs", "assay_device_procedure", "anatomy_tissue_cell", "gene_protein", "disease_disorder",
+    ]
+    assert "amyloid beta" in linking.expand_acronym("Aβ") and linking.expand_acronym("AB") == []
+    canons = lambda *a: {text.canon_entity_py(f) for f in linking.surface_forms(*a)}
+    assert {"stat3", "phosphorylatedstat3", "stat3phosphorylation"} <= canons("p-STAT3")
+    assert {"lunginjuryofthe", "lung"} <= canons("lung injury of the")
+    assert "longcovidsyndrome" in canons("LCS", "long COVID syndrome (LCS)") and "lcs" in canons("long COVID syndrome", "long COVID syndrome (LCS)")
+    assert linking.surface_forms("brain fog")[-1] == '"brain fog"'
     forms = linking.surface_forms("IL-6")
     assert "interleukin-6" in forms and len({text.canon_entity_py(f) for f in forms}) == len(forms) <= linking.MOST_FORMS
     assert linking.expand_acronym("LCS", "long COVID syndrome (LCS)") == ["long COVID syndrome"]
