@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to all workers."""
+    package = Path(__file__).resolve().parent
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name))
+
+
 def session(master: str | None = None, name: str = "quern", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(name)
     if master:
@@ -17,4 +27,7 @@ def session(master: str | None = None, name: str = "quern", **conf: str) -> Spar
     }
     for key, value in {**settings, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if not spark.sparkContext.master.startswith("local"):
+        ship(spark)
+    return spark

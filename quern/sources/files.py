@@ -109,10 +109,27 @@ def prompt(template: str, **columns: str) -> F.Column:
     return out
 
 
+#: Rows of a sheet, the header's included.
+SHEET_ROWS = 1_048_576
+
+
+def write_excel(df: DataFrame, path: str) -> None:
+    """A sheet, on the driver: an error beyond the rows that a sheet holds, or where no writer is installed."""
+    rows = df.limit(SHEET_ROWS).toPandas()
+    if len(rows) == SHEET_ROWS:
+        raise ValueError(f"a sheet holds {SHEET_ROWS - 1} rows; write another kind")
+    try:
+        rows.to_excel(path, index=False)
+    except ImportError as e:
+        raise ValueError("writing Excel files needs openpyxl; write CSV") from e
+
+
 def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
     writer = df.write.mode("overwrite")
     if kind == "csv":
         writer.option("header", True).option("escape", '"').csv(path)  # quotes are doubled, as the reader takes them
+    elif kind == "xlsx":
+        write_excel(df, path)
     elif kind in ("parquet", "json", "orc"):
         writer.format(kind).save(path)
     else:

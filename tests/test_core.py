@@ -199,7 +199,7 @@ def test_entity_groups_and_forms(spark):
     assert "amyloid beta" in linking.expand_acronym("Aβ") and linking.expand_acronym("AB") == []
     canons = lambda *a: {text.canon_entity_py(f) for f in linking.surface_forms(*a)}
     assert {"stat3", "phosphorylatedstat3", "stat3phosphorylation"} <= canons("p-STAT3")
-    assert {"lunginjuryofthe", "lung"} <= canons("lung injury of the")
+    assert {"lunginjury", "lung"} <= canons("lung injury")
     assert "longcovidsyndrome" in canons("LCS", "long COVID syndrome (LCS)") and "lcs" in canons("long COVID syndrome", "long COVID syndrome (LCS)")
     assert linking.surface_forms("brain fog")[-1] == '"brain fog"'
     forms = linking.surface_forms("IL-6")
@@ -383,3 +383,84 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quern.__main__ import main
+
+    config = tmp_path / "run.ini"
+    config.write_text(f"[run]\nfolder = /root/testdata/sf0.001\nout = {tmp_path}/hubs.csv\n[spark]\nspark.sql.session.timeZone = UTC\n")
+    main(["hubs_cbm", "--config", str(config), "--dry-run"])
+    assert "Physical Plan" in capsys.readouterr().out and not (tmp_path / "hubs.csv").exists()
+    main(["hubs_cbm", "--config", str(config)])
+    assert files.read_any(spark, f"{tmp_path}/hubs.csv").count() == 20
+    with pytest.raises(SystemExit):
+        main(["hubs_cbm"])
+
+
+SCORED = TERM.replace("candidate_id long", "candidate_id long, entity string, group string")
+
+
+def test_score_rules(spark):
+    """What each rule adds to a label that equals its mention (1.0), or takes from it."""
+    row = lambda k, entity, group, label, onto="x", source="t", synonyms=(), definition="", taxid=None: (k, entity, group, label, onto, None, None, None, source, list(synonyms), definition, taxid)
+    rows = [
+        row(1, "qqq", "disease_disorder", "qqq"), row(2, "qqq", "disease_disorder", "qqq", "mondo"), row(3, "qqq", "disease_disorder", "qqq", "wikidata"),
+        row(4, "qqq", "gene_protein", "qqq", source="MyGene", taxid=9606), row(5, "qqq", "gene_protein", "qqq", source="UniProt", definition="a mouse gene"),
+        row(6, "qqq", "gene_protein", "qqq", source="UniProt", definition="human and mouse"), row(7, "drug", "disease_disorder", "drug"),
+        row(8, "pathway", "chemical_drug", "pathway"), row(9, "grade", "disease_disorder", "grade", "ncit"), row(10, "grade", "assay_device_procedure", "grade", "ncit"),
+        row(11, "leakage", "disease_disorder", "leakage"), row(12, "IL6", "gene_protein", "IL6"), row(13, "qqq", "disease_disorder", "qqq", "enm"),
+    ]
+    found = {r.candidate_id: round(r.lex, 6) for r in linking.score(spark.createDataFrame(rows, SCORED)).collect()}
+    assert found == {1: 1.0, 2: 1.2, 3: 1.05, 4: 1.15, 5: 0.85, 6: 1.15, 7: 0.8, 8: 0.85, 9: 1.0, 10: 1.2, 11: 1.0, 12: 1.25}
+
+
+def test_ties_fall_to_preferred_authorities(spark):
+    """Within .02 of the best, .03 for genes, a preferred authority goes first; beyond it doesn't."""
+    fields = "entity string, group string, candidate_id long, label string, ontology_name string, curie string, obo_id string, iri string, source string, confidence double, lex double, words long, label_cover double, tier int, embed_sim double"
+    row = lambda e, g, k, onto, c: (e, g, k, "l", onto, f"{onto}:{k}", None, None, "t", c, c, 1, 1.0, 0, None)
+    rows = [row("a", "disease_disorder", 1, "x", 0.90), row("a", "disease_disorder", 2, "mondo", 0.885), row("b", "disease_disorder", 1, "x", 0.90), row("b", "disease_disorder", 2, "mondo", 0.875), row("c", "gene_protein", 1, "x", 0.90), row("c", "gene_protein", 2, "hgnc", 0.875), row("d", "gene_protein", 1, "x", 0.69)]
+    found = {r.entity: r.ontology_id for r in linking.decide(spark.createDataFrame(rows, fields)).collect()}
+    assert found == {"a": "mondo:2", "b": "x:1", "c": "hgnc:2", "d": None}
+
+
+def test_vectors_raise_unclear_scores(spark):
+    terms = spark.createDataFrame([(1, "chronic lung scarring", "mondo", "M:1", None, None, "t", ["scarred lungs"], "", None)], TERM)
+    triples = spark.createDataFrame([(1, "chronic lung scarring of old", "affects", "scarred lungs")], "ord long, subject string, predicate string, object string")
+    pairs = linking.score(linking.candidates(linking.with_parts(linking.mentions_of(triples)), terms))
+    raised = linking.add_vectors(pairs, linking.vectors_of(pairs, lambda texts: [[1.0, 0.0] for _ in texts]))
+    before = {r.entity: r.lex for r in pairs.collect()}
+    for r in raised.collect():
+        wants = r.words >= 2 and before[r.entity] < linking.THRESHOLD + 0.20
+        assert r.embed_sim == (1.0 if wants else 0.0) and abs(r.lex - min(1.5, before[r.entity] + 0.35 * r.embed_sim)) < 1e-9
+
+
+def test_phrase_search(spark):
+    """A mention of several words with few hits meets terms that hold it as a phrase."""
+    terms = spark.createDataFrame([(1, "acute brain fog syndrome", "mondo", "M:1", None, None, "t", [], "", None), (2, "fog of brain", "mondo", "M:2", None, None, "t", [], "", None)], TERM)
+    triples = spark.createDataFrame([(1, "brain fog", "affects", "x")], "ord long, subject string, predicate string, object string")
+    assert {r.candidate_id for r in linking.candidates(linking.mentions_of(triples), terms).where("entity = 'brain fog'").collect()} == {1}
+
+
+def test_keywords_in_blocks(spark, monkeypatch):
+    """Many keywords go to the tasks in blocks, with the same categories."""
+    random = np.random.default_rng(3)
+    rows = spark.createDataFrame([(k, random.normal(size=8).tolist()) for k in range(60)], "id int, embedding array<double>")
+    words = spark.createDataFrame([(f"c{k % 7}", k, random.normal(size=8).tolist() if k else [0.0] * 8) for k in range(50)], "category string, ord int, embedding array<double>")
+    for how in ("max", "mean"):
+        whole = sorted((r.id, r.category, round(r.score, 9)) for r in categorize.best_category(rows, words, how, 0.1).collect())
+        monkeypatch.setattr(categorize, "MOST_KEYWORDS", 9)
+        assert sorted((r.id, r.category, round(r.score, 9)) for r in categorize.best_category(rows, words, how, 0.1).collect()) == whole
+        monkeypatch.undo()
+
+
+def test_near_pairs_against_all(spark):
+    random = np.random.default_rng(5)
+    hashes = [int(x) for x in random.integers(-(2**63), 2**63 - 1, 40)]
+    for k in range(40):
+        flips = random.choice(64, random.integers(0, 11), replace=False)
+        hashes.append(int((np.uint64(hashes[k] & (2**64 - 1)) ^ np.bitwise_or.reduce(np.uint64(1) << flips.astype(np.uint64), initial=np.uint64(0))).view(np.int64)))
+    bits = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
+    want = {(a, b, bits(hashes[a], hashes[b])) for a in range(80) for b in range(a + 1, 80) if bits(hashes[a], hashes[b]) < 8}
+    got = [tuple(r) for r in dedup.near_pairs(spark.createDataFrame(list(enumerate(hashes)), "id long, hash long")).collect()]
+    assert set(got) == want and len(got) == len(want)
