@@ -13,7 +13,7 @@ from quern.plans import reports
 from quern.plans.graph import preview, split_properties
 from quern.plans.iterate import component_counts, shared_folder
 from quern.plans.queries import _LINKED, NAMES, QUERIES, SQL, WITH, graph, names, on_names, query, responses, table, terms, triples  # noqa: F401
-from quern.sources import files, plug
+from quern.sources import files, plug, services
 
 # Files.
 
@@ -78,6 +78,15 @@ def fetched(spark, d):
     return got.select("page_id", "http_status", clean.is_image(F.col("mime"), F.col("http_status").try_cast("int")).alias("is_image"))
 
 
+@query("service_terms", "select n_name as label, 'mondo' as ontology_name, 'MONDO:' || n_nationkey as obo_id, 'the ' || n_name || ' of ' || n_regionkey as definition, 'a|b' || n_nationkey as synonyms, 'OLS' as source from nation")
+def service_terms(spark, d):
+    """Answers in a service's shape, made of nations, and one that is no JSON."""
+    doc = F.struct(F.col("n_name").alias("label"), F.lit("MONDO").alias("ontology_name"), F.concat(F.lit("MONDO:"), F.col("n_nationkey").cast("string")).alias("obo_id"), F.array(F.lit("a"), F.concat(F.lit("b"), F.col("n_nationkey").cast("string"))).alias("synonym"), F.array(F.concat(F.lit("the "), "n_name"), F.concat(F.lit("of "), F.col("n_regionkey").cast("string"))).alias("description"))
+    body = F.to_json(F.struct(F.struct(F.array(doc).alias("docs")).alias("response")))
+    answers = table(spark, d, "nation").select(F.col("n_name").alias("term"), body.alias("body")).union(table(spark, d, "region").select("r_name", F.lit("<html>")))
+    return services.terms_of(answers, "OLS").select("label", "ontology_name", "obo_id", "definition", F.array_join("synonyms", "|").alias("synonyms"), "source")
+
+
 @query("completed", "select n_nationkey as id, case when n_nationkey % 5 = 0 then null else reverse('Label ' || n_name) end as response, n_nationkey % 5 = 0 as failed from nation")
 def completed(spark, d):
     """A model that turns prompts round, and raises for some of them, alone or in a batch."""

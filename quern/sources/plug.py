@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from quern.plans.iterate import cut
+
 
 def complete(rows: DataFrame, model: Callable[[list[str]], list[str]], column: str = "prompt", out: str = "response", failed: str = "failed") -> DataFrame:
     """Adds a model's answer to each row; a batch that raises is asked row by row, and a row that raises is marked failed."""
@@ -63,7 +65,7 @@ def hashed_vectors(texts: list[str], size: int = 64) -> list[list[float]]:
 
 
 def fetch(rows: DataFrame, client: Callable[[str], tuple[int, str, bytes]], column: str = "url", tries: int = 3) -> DataFrame:
-    """Adds http_status, mime and content of each address; a client that raises is tried again, then its status is error."""
+    """Adds http_status, mime and content of each address, which is fetched once however many rows have it; a client that raises is tried again, then its status is error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -80,8 +82,9 @@ def fetch(rows: DataFrame, client: Callable[[str], tuple[int, str, bytes]], colu
                 found.append(got)
             yield pdf.assign(http_status=[x[0] for x in found], mime=[x[1] for x in found], content=[x[2] for x in found])
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-    return rows.mapInPandas(run, f"{schema}, http_status string, mime string, content binary")
+    kind = dict(rows.dtypes)[column]
+    got = cut(rows.select(column).distinct().mapInPandas(run, f"`{column}` {kind}, http_status string, mime string, content binary").withColumnRenamed(column, "_address"))
+    return rows.join(got, rows[column].eqNullSafe(got["_address"]), "left").drop("_address")
 
 
 def png_size(content: bytes | None) -> tuple[int, int] | None:

@@ -13,7 +13,7 @@ from quern.operators import categorize, clean, dedup, linking, match, parse
 from quern.plans import graph_queries as Q
 from quern.plans import iterate, reports
 from quern.plans.graph import Graph, build, relabel
-from quern.sources import files, plug
+from quern.sources import files, plug, services
 from quern.streaming import upsert
 
 
@@ -464,3 +464,43 @@ def test_near_pairs_against_all(spark):
     want = {(a, b, bits(hashes[a], hashes[b])) for a in range(80) for b in range(a + 1, 80) if bits(hashes[a], hashes[b]) < 8}
     got = [tuple(r) for r in dedup.near_pairs(spark.createDataFrame(list(enumerate(hashes)), "id long, hash long")).collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_terms_of_services(spark):
+    """Answers in each service's shape, and others that give no terms."""
+    bodies = {
+        "OLS": {"response": {"docs": [{"label": "AD", "iri": "i", "obo_id": "MONDO:1", "ontology_name": "MONDO", "synonym": ["x"], "description": ["d", "e"]}]}},
+        "BioPortal": [{"annotatedClass": {"prefLabel": "AD", "@id": "i", "notation": "D1", "synonym": ["s"], "definition": ["first", "second"], "links": {"ontology": "https://x/ontologies/MESH"}}}],
+        "MyGene": {"hits": [{"symbol": "IL6", "name": "interleukin 6", "taxid": 9606, "entrezgene": 3569, "alias": ["IL-6"]}]},
+        "UniProt": {"results": [{"primaryAccession": "P1", "proteinDescription": {"recommendedName": {"fullName": {"value": "Interleukin"}}}, "organism": {"scientificName": "Homo sapiens", "taxonId": 9606}}]},
+        "Wikidata": {"entities": {"Q1": {"labels": {"en": {"value": "fever"}}, "descriptions": {"en": {"value": "heat"}}, "aliases": {"en": [{"value": "pyrexia"}]}}}},
+    }
+    want = {
+        "OLS": ("AD", "mondo", None, "MONDO:1", "i", ["x"], "d e", None), "BioPortal": ("AD", "mesh", None, "D1", "i", ["s"], "first", None),
+        "MyGene": ("IL6", "mygene", "NCBIGene:3569", None, "", ["IL-6"], "interleukin 6 taxid:9606", 9606), "UniProt": ("Interleukin", "uniprot", "UniProtKB:P1", None, "", [], "Homo sapiens taxid:9606", 9606),
+        "Wikidata": ("fever", "wikidata", "Wikidata:Q1", None, "https://www.wikidata.org/wiki/Q1", ["pyrexia"], "heat", None),
+    }
+    for name, body in bodies.items():
+        answers = spark.createDataFrame([("q", json.dumps(body)), ("q", json.dumps(body)), ("q", "no json"), ("q", "{}"), ("q", None)], "term string, body string")
+        got = [(r.label, r.ontology_name, r.curie, r.obo_id, r.iri, r.synonyms, r.definition, r.taxid) for r in services.terms_of(answers, name).collect()]
+        assert got == [want[name]], name
+
+
+def test_addresses_are_fetched_once(spark, tmp_path):
+    def client(url):
+        with open(f"{tmp_path}/asked", "a") as f:
+            f.write(url + "\n")
+        return 200, "text/html", b"x"
+
+    rows = spark.createDataFrame([(k, f"u{k % 3}") for k in range(30)], "id int, url string")
+    assert {r.http_status for r in plug.fetch(rows, client).collect()} == {"200"}
+    assert sorted((tmp_path / "asked").read_text().split()) == ["u0", "u1", "u2"]
+
+
+def test_image_facts(spark):
+    grid = np.add.outer(np.arange(32), np.arange(32)) % 7
+    images = spark.createDataFrame([(1, b"a"), (2, b"b"), (3, b"bad"), (4, None)], "id int, content binary")
+    decode = lambda content: None if content == b"bad" else (grid + (content == b"b"), 40, 30)
+    facts = {r.id: (r.hash, r.pixels) for r in plug.image_facts(images, decode).collect()}
+    assert facts[1][1] == 1200 and facts[3] == facts[4] == (None, None)
+    assert bin((facts[1][0] ^ facts[2][0]) & (2**64 - 1)).count("1") < dedup.DISTANCE
