@@ -3,10 +3,14 @@
 Documents are grouped by length, then by a hash of their first characters, then by the SHA-256 of the whole text; each step looks
 only at what the step before left in a group of two or more. Narrow rows (an id, a length, a hash) are all that is shuffled. Which
 groups survive is decided by counts that are summed before the shuffle, so that a group of copies that holds a third of all rows
-costs one row a task. The joins with these counts keep to sort-merge joins that Spark splits when a key is hot.
+costs one row a task. Lengths and heads that several rows share are broadcast up to FEW, and else joined: lengths to the counts, not to
+the rows, so that a hot length is as many rows as it has heads. Rows meet the counts of their digest in a join whose sides are both
+plain shuffles of written or grouped rows, which Spark can split where a digest is hot.
 
 Defined cases: a null text counts as empty; a null id is less than any other id; rows that repeat an id with an equal text are one
-document, returned once; texts of any length are hashed whole; an empty table gives an empty result; other columns are not read.
+document, returned once; texts of any length are hashed whole; of equal texts the largest id is unique once equal rows are one, so
+that there are no ties; rows that repeat an id with other texts are told apart by length and digest; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from quern.llm.common import cut, table, without_ids
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters under the second step's hash.
 PREFIX = 256
+#: Rows of keys (one or two longs) that are broadcast at most: 1.6 MB.
+FEW = 100_000
 
 
 def normalized(text) -> F.Column:
@@ -26,7 +32,7 @@ def normalized(text) -> F.Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, all_digests: bool = False) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, all_digests: bool = False, few: int = FEW) -> DataFrame:
     """Returns id, keep_id, group_size, kept and text_sha256 for each document; of equal texts the one with the largest id is kept.
 
     text_sha256 is null where refinement never came to the whole text, unless the caller asks for all_digests.
@@ -34,12 +40,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sized = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", "text", F.octet_length("text").alias("len"))
     headed = sized.withColumn("head", F.xxhash64(normalized(F.substring("text", 1, prefix))))
 
-    lengths = sized.groupBy("len").count().where("count > 1").select("len")
-    heads = headed.drop("text").join(lengths.hint("merge"), "len", "left_semi").groupBy("len", "head").count().where("count > 1")
-    heads = cut(heads.select("len", "head", F.lit(True).alias("hit")))
+    lengths = cut(sized.groupBy("len").count().where("count > 1").select("len"))
+    if lengths.count() <= few:
+        heads = headed.drop("text").join(F.broadcast(lengths), "len", "left_semi").groupBy("len", "head").count()
+    else:
+        heads = cut(headed.drop("text").groupBy("len", "head").count()).join(lengths.hint("merge"), "len", "left_semi")
+    heads = cut(heads.where("count > 1").select("len", "head", F.lit(True).alias("hit")))
 
     # Whole texts are hashed for the rows whose length and head others share; when() leaves the rest unread.
-    if heads.count() <= 100_000:  # two longs a row: 1.6 MB at most; beyond, the texts meet the keys in a shuffle
+    if heads.count() <= few:  # beyond, the texts meet the keys in a shuffle
         whole = headed.join(F.broadcast(heads), ["len", "head"], "left")
     else:
         whole = headed.join(heads.hint("merge"), ["len", "head"], "left")
@@ -48,7 +57,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     alone = digests.where("hit is null").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
     members = digests.where("hit").groupBy("id", "len", "digest").agg(F.lit(1)).select("id", "len", "digest")
-    groups = members.groupBy("len", "digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = cut(members.groupBy("len", "digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     shared = members.join(groups.hint("merge"), ["len", "digest"], "left")
     found = alone.unionByName(shared.select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest"))
     return found.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
