@@ -7,8 +7,9 @@ a temporary name, renames it, and names its files, sizes and digests in a manife
 the payload; nothing depends on the time or on the task's attempt, so that a task that ran twice leaves the same files.
 
 Defined cases: a null payload counts as empty; a null url is written as urn:page:<key>; a null key sorts first and is written as
-"null"; of rows that repeat a key with equal payloads one is the response, the others revisit it; an empty table gives no files;
-other columns are not read.
+"null"; of rows that repeat a key with equal payloads one is the response, the others revisit it; of rows that repeat a key with
+other payloads each is a record of its own; ties in the smallest key are such rows; payloads of any length are written whole; an empty
+table gives no files; other columns are not read.
 """
 
 from __future__ import annotations
@@ -109,10 +110,10 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     spark = pages.sparkSession
     narrow = cut(base.select("key", F.unhex(F.sha1("payload")).alias("digest"), F.octet_length("payload").alias("n")))
     known = narrow.where(F.col("n") >= least)
-    first = known.groupBy("digest").agg(F.min(F.struct(F.col("key").isNotNull(), "key")).alias("first")).select("digest", F.col("first.key").alias("first"))
-    ranked = known.join(first.hint("merge"), "digest").select("key", "digest", "first")
+    # Written first: a join of two plain shuffles is one that Spark can split where a digest is hot.
+    first = cut(known.groupBy("digest").agg(F.min(F.struct(F.col("key").isNotNull(), "key")).alias("first")).select("digest", F.col("first.key").alias("first")))
     # Rows that repeat both key and digest follow one another; the first of those is the response. Their count is summed, not windowed.
-    repeated = ranked.groupBy("key", "digest", "first").agg(F.count(F.lit(1)).alias("copies"))
+    repeated = known.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("copies")).join(first.hint("merge"), "digest")
     told = repeated.select("key", "digest", "first", F.explode(F.expr("sequence(1L, copies)")).alias("nth"))
     told = told.select("key", "digest", (~(F.col("key").eqNullSafe(F.col("first")) & (F.col("nth") == 1))).alias("refers"), F.col("first").alias("refers_to"), "nth")
     small = narrow.where(F.col("n") < least).select("key", "digest", F.lit(False).alias("refers"), F.lit(None).cast("long").alias("refers_to"), F.lit(1).cast("long").alias("nth"))
