@@ -7,17 +7,19 @@ that only segments with an anchor that another document has too need a closer lo
 The index holds runs: immutable Parquet tables sorted by anchor, with a row for each anchor of a batch of documents: the least and
 greatest segment hash and the least and greatest document that have it. A new batch's own run is merge-joined with the older ones.
 An anchor that only one document has is done. Where all segments with an anchor are the same, the first document owns all their
-windows. Else the windows themselves, with two hashes of 64 bits, are compared: those of the batch and, read again from the texts,
-those of the history; the second hash, of another base over other word hashes, verifies the first. The batch's run then joins the
-index, and runs are compacted into one when there are more than a few.
+windows: such segments rest on two hashes of 64 bits, of the anchor and of the segment. Else the windows themselves are compared:
+those of the batch and, read again from the texts, those of the history; a second hash of 64 bits, of another base over words hashed
+anew, verifies the first. The batch's run then joins the index, and runs are compacted into one when there are more than a few.
 
 Documents are read again where that spares a shuffle of texts or hashes; a bit filter of fixed size says which anchors matter there,
 and exact joins follow it. Counts and owners are grouped minima, summed before the shuffle, so that a passage in a third of all
-documents costs a row a task.
+documents costs a row a task; they are written before rows meet them, in joins that Spark can split where a window is hot. Of the texts
+only those that may lose words are shuffled.
 
 Defined cases: a null text has no words; fewer than 50 words make no window; rows with a null id neither own nor lose windows; rows
-that repeat an id count as one document, whose windows don't remove one another; an empty table gives an empty result; other columns
-are not read.
+that repeat an id count as one document, whose windows don't remove one another, and each loses only what it has itself; a window that
+a document has several times goes each time, or never in its first document; texts of any length are read whole; an empty table gives
+an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +42,7 @@ ANCHOR = 18
 RUNS = 3
 
 _seen = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("doc", pa.int64())])
-_found = pa.schema([("whole", pa.bool_()), ("key", pa.int64()), ("check", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+_found = pa.schema([("whole", pa.bool_()), ("key", pa.int64()), ("check", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 _first, _second = Rolling(), Rolling(0xD1342543DE82EF95)
 
 
@@ -51,8 +54,7 @@ class Segments:
         self.n, self.window = max(0, len(words) - window + 1), window
         if not self.n:
             return
-        self.hashes = word_hashes(words)
-        self.sums = _first.sums(self.hashes)
+        self.words, self.sums = words, _first.sums(word_hashes(words))
         grams = _first.runs(self.sums, anchor)
         width = window - anchor + 1
         at = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(1) + np.arange(self.n)
@@ -65,8 +67,9 @@ class Segments:
         """Both hashes of n windows from start."""
         ends = self.sums[start + self.window : start + self.window + n]
         key = mix((ends - self.sums[start : start + n]) * _first.down[start : start + n] + np.uint64(self.window))
-        again = _second.sums(mix(self.hashes[start : start + n + self.window - 1] ^ np.uint64(0xA5A5A5A55A5A5A5A)))
-        return key, _second.runs(again, self.window)
+        words = self.words[start : start + n + self.window - 1]
+        again = np.fromiter((xxhash.xxh64_intdigest(x, 7) for x in words), np.uint64, len(words))
+        return key, _second.runs(_second.sums(again), self.window)
 
 
 def _scan(window: int, anchor: int):
@@ -89,16 +92,16 @@ def _expand(window: int, anchor: int, uniform, mixed):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Out(_found)
-        for doc, text in rows(batches, "doc", "text"):
+        for doc, row, text in rows(batches, "doc", "row", "text"):
             s = Segments(text, window, anchor)
             if not s.n:
                 continue
             if uniform is not None and len(k := np.flatnonzero(passes(uniform.value, s.anchor))):
-                out.add(np.ones(len(k), bool).tolist(), s.anchor[k], s.segment[k], np.full(len(k), doc, np.int64), s.start[k].astype(np.int32), s.count[k].astype(np.int32))
+                out.add(np.ones(len(k), bool).tolist(), s.anchor[k], s.segment[k], np.full(len(k), doc, np.int64), np.full(len(k), row, np.int64), s.start[k].astype(np.int32), s.count[k].astype(np.int32))
             for k in np.flatnonzero(passes(mixed.value, s.anchor)):
                 start, n = int(s.start[k]), int(s.count[k])
                 key, check = s.windows(start, n)
-                out.add([False] * n, key, check, np.full(n, doc, np.int64), np.arange(start, start + n, dtype=np.int32), np.ones(n, np.int32))
+                out.add([False] * n, key, check, np.full(n, doc, np.int64), np.full(n, row, np.int64), np.arange(start, start + n, dtype=np.int32), np.ones(n, np.int32))
             if out.full():
                 yield out.take()
         if out.n:
@@ -147,13 +150,13 @@ class FingerprintIndex:
         self._publish()
 
     def add(self, batch: DataFrame, history: DataFrame | None) -> DataFrame:
-        """Adds a batch (doc long, text binary) and returns its removed spans (doc, start, n) of windows.
+        """Adds a batch (doc long, row long, text binary) and returns its removed spans (doc, row, start, n) of windows; row tells apart the texts of an id.
 
         history has the documents of earlier batches: their windows are read again where anchors have more than one context. Ids of
         a batch are greater than those in history.
         """
         sc = self.spark.sparkContext
-        seen = batch.mapInArrow(_scan(self.window, self.anchor), "anchor long, segment long, doc long")
+        seen = batch.select("doc", "text").mapInArrow(_scan(self.window, self.anchor), "anchor long, segment long, doc long")
         own = self._run(seen.groupBy("anchor").agg(F.min("segment").alias("seg_min"), F.max("segment").alias("seg_max"), F.min("doc").alias("doc_min"), F.max("doc").alias("doc_max")))
         stats = self._read(own)
         for name in self.runs:
@@ -163,26 +166,27 @@ class FingerprintIndex:
             )
         shared = cut(stats.where("doc_min < doc_max").select("anchor", F.col("doc_min").alias("owner"), (F.col("seg_min") != F.col("seg_max")).alias("mixed")))
         uniform, mixed = sc.broadcast(bit_filter(shared.where("not mixed"), "anchor")), sc.broadcast(bit_filter(shared.where("mixed"), "anchor"))
-        schema = "whole boolean, key long, check long, doc long, start int, n int"
+        schema = "whole boolean, key long, check long, doc long, row long, start int, n int"
         mine = cut(batch.mapInArrow(_expand(self.window, self.anchor, uniform, mixed), schema))
         whole = mine.where("whole").join(shared.where("not mixed").select(F.col("anchor").alias("key"), "owner").hint("merge"), "key").where("owner < doc")
         windows = mine.where("not whole").select("key", "check", "doc")
         if history is not None:
             older = history.mapInArrow(_expand(self.window, self.anchor, None, mixed), schema).select("key", "check", "doc")
             windows = windows.union(older)
-        owners = windows.groupBy("key", "check").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").drop("last")
+        owners = cut(windows.groupBy("key", "check").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").drop("last"))
         single = mine.where("not whole").join(owners.hint("merge"), ["key", "check"]).where("owner < doc")
         self.runs.append(own)
         self._publish()
         if len(self.runs) > self.most_runs:
             self._compact()
-        return whole.select("doc", "start", "n").union(single.select("doc", "start", "n"))
+        return whole.select("doc", "row", "start", "n").union(single.select("doc", "row", "start", "n"))
 
 
 def removed_spans(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, folder: str | None = None) -> DataFrame:
-    """Removed windows (doc, start, n windows from start) of documents that come to an index in batches of ascending ids."""
+    """Removed windows (doc, row, start, n windows from start) of documents that come to an index in batches of ascending ids."""
     spark = docs.sparkSession
-    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
+    text = F.col(text_col).cast("binary")
+    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"))
     index = FingerprintIndex(spark, folder or shared_folder(spark), window, anchor)
     cuts = base.agg(F.percentile_approx("doc", [k / batches for k in range(1, batches)], 1000)).first()[0] if batches > 1 else []
     bounds = sorted(set(cuts or []))
@@ -223,10 +227,27 @@ def _apply(window: int):
 
 def substring_dedup(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """Returns id, kept_text (the words that stay, joined by one space), n_words and n_removed for each document."""
-    spans = removed_spans(docs, batches, id_col, text_col, window, anchor).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    joined = base.join(spans, base.id == spans.doc, "left").select("id", "text", "spans")
-    return joined.mapInArrow(_apply(window), "id long, kept_text string, n_words long, n_removed long").withColumnRenamed("id", id_col)
+    found = removed_spans(docs, batches, id_col, text_col, window, anchor)
+    spans = cut(found.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("spans")))
+    text = F.col(text_col).cast("binary")
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
+    losing = docs.sparkSession.sparkContext.broadcast(bit_filter(spans, "row"))
+    # Texts that surely lose nothing are not shuffled; a few others may pass the filter and meet no spans.
+    whole = base.mapInArrow(_passing(losing, False), base.schema).select("id", "text", F.lit(None).cast("array<struct<start:int,n:int>>").alias("spans"))
+    some = base.mapInArrow(_passing(losing, True), base.schema).alias("b")
+    joined = some.join(spans.alias("s"), (F.col("id") == F.col("doc")) & (F.col("b.row") == F.col("s.row")), "left").select("id", "text", "spans")
+    applied = whole.union(joined).mapInArrow(_apply(window), "id long, kept_text string, n_words long, n_removed long")
+    return applied.withColumnRenamed("id", id_col)
+
+
+def _passing(wanted, inside: bool):
+    """The rows whose text may be wanted, or the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(wanted.value, batch.column("row").to_numpy()) == inside))
+
+    return run
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
