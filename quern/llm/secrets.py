@@ -7,8 +7,9 @@ it. Labelled findings come from the caller; where there are none, labelled_findi
 and of hashes, ids, numbers, paths and placeholders.
 
 Defined cases: a null or empty text has no candidates; a row with a null id carries it; rows that repeat an id are scanned each; a
-value that occurs several times in a text is found each time; texts of any length are scanned whole; an empty table gives an empty
-result; other columns are not read. Values are returned as a SHA-256 and a masked form, never whole.
+value that occurs several times in a text is found each time; where several patterns match at one place the first of CANDIDATE does;
+texts and values of any length are read whole; a score of exactly the threshold is a secret; an empty table gives an empty result;
+other columns are not read. Values are returned as a SHA-256 and a masked form, never whole.
 """
 
 from __future__ import annotations
@@ -22,17 +23,28 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import table
 
-KEYWORDS = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential"
-#: A named value, a known prefix, or a long word of letters and digits. The first character parts the alternatives early.
+NAMES = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key"
+KEYWORDS = f"{NAMES}|auth|bearer|credential"
+#: What stands between a name and its value: quotes, white space, one = or :.
+_IS = r"[\"']?\s*+[=:]\s*+[\"']?"
+KNOWN = "AKIA|ASIA|gh[pousr]_|sk_live_|sk_test_|xox[abprs]-|AIza|eyJ"
+#: A private key block, a named value, a value in an address before its host, a known prefix, or a long word; of long words those
+#: without a digit are unmarked again (WORD). A name may stand at the end of a longer one, as in DB_PASSWORD. Quantifiers that can't help
+#: by giving back are possessive: a long run is read once.
 CANDIDATE = (
-    r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[^\s\"'<>]{6,}"
-    r"|\b(?:AKIA|ASIA|gh[pousr]_|sk_live_|sk_test_|xox[abprs]-|AIza|eyJ)[A-Za-z0-9_./+-]{8,}"
-    r"|(?<![A-Za-z0-9])(?=[A-Za-z_+/-]{0,64}[0-9])[A-Za-z0-9][A-Za-z0-9_+/-]{14,}={0,2}"
+    r"-----BEGIN [A-Z ]*+PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]*+PRIVATE KEY-----)?"
+    rf"|(?i:(?<![A-Za-z0-9])(?:{NAMES}){_IS})[^\s\"'<>]{{6,}}"
+    r"|(?<=://)[^\s/:@\"'<>]++:[^\s/@\"'<>]{3,}+(?=@)"
+    rf"|\b(?:{KNOWN})[A-Za-z0-9_./+-]{{8,}}"
+    r"|(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9_+/-]{14,}+={0,2}"
 )
-NAMED = r"(?i)^(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?"
+#: A marked long word without a digit.
+WORD = rf"\ue000(?!{KNOWN})([A-Za-z][A-Za-z_+/-]{{14,}}+={{0,2}})\ue000"
+NAMED = rf"(?i)^(?:{NAMES}){_IS}"
 DICTIONARY = ("example", "sample", "test", "dummy", "your", "changeme", "placeholder", "here", "insert", "token", "secret", "password", "key", "image", "icon", "file", "lib", "usr", "page", "index", "version", "build", "user", "data", "node", "linux", "article", "post", "item", "name", "value", "string", "none", "null", "xxxx", "1234", "the", "and", "tion", "ing")
 #: A private-use character that marks candidates; texts that hold it have it replaced by a space first.
 MARK = "\ue000"
+#: Characters before and after a candidate that features look at.
 AROUND = 60
 THRESHOLD = 0.5
 
@@ -43,11 +55,12 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """id, start (in characters, from 0), before, candidate and after of each candidate in each text."""
     text = F.col(text_col)
     clean = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, " ")).otherwise(text)
-    marked = docs.select(F.col(id_col).alias("id"), F.regexp_replace(clean, f"({CANDIDATE})", f"{MARK}$1{MARK}").alias("marked")).where(F.contains("marked", F.lit(MARK)))
+    marked = F.regexp_replace(F.regexp_replace(clean, f"({CANDIDATE})", f"{MARK}$1{MARK}"), WORD, "$1")
+    marked = docs.select(F.col(id_col).alias("id"), marked.alias("marked")).where(F.contains("marked", F.lit(MARK)))
     parts = marked.select("id", F.split("marked", MARK, -1).alias("parts"))
     ends = F.expr("aggregate(parts, cast(array(0) as array<int>), (s, x) -> array_append(s, element_at(s, -1) + length(x)))")
-    rows = parts.withColumn("ends", ends).select("id", F.explode(F.expr("""transform(sequence(1, size(parts) - 2, 2), k -> struct(ends[k] as start,
-        right(parts[k - 1], 60) as before, parts[k] as candidate, left(parts[k + 1], 60) as after))""")).alias("c"))
+    rows = parts.withColumn("ends", ends).select("id", F.explode(F.expr(f"""transform(sequence(1, size(parts) - 2, 2), k -> struct(ends[k] as start,
+        right(parts[k - 1], {AROUND}) as before, parts[k] as candidate, left(parts[k + 1], {AROUND}) as after))""")).alias("c"))
     return rows.select("id", "c.start", "c.before", "c.candidate", "c.after")
 
 
@@ -59,27 +72,27 @@ def with_features(found: DataFrame) -> DataFrame:
     kinds = F.translate("value", upper + lower + digits, "A" * 26 + "a" * 26 + "0" * 10)
     sounds = F.translate(F.lower("value"), lower + digits, "".join("v" if c in "aeiou" else "c" for c in lower) + "d" * 10)
     flag = lambda condition: F.coalesce(condition, F.lit(False)).cast("double")
-    entropy = F.expr("aggregate(array_distinct(chars), 0D, (s, c) -> s - (size(filter(chars, x -> x = c)) / n) * log2(size(filter(chars, x -> x = c)) / n))")
+    # A character's count is what the value is shorter by without it: the whole value is read once for each distinct character.
+    entropy = F.expr("aggregate(transform(chars, c -> (n - length(replace(value, c, ''))) / n), 0D, (s, p) -> s - p * log2(p))")
     found = found.withColumn("value", F.regexp_replace("candidate", NAMED, "")).withColumn("value", F.when(F.length("value") > 0, F.col("value")).otherwise(F.col("candidate")))
-    # Character by character, the first 256 of a value: a longer one has the features of those and its own length.
-    found = found.withColumn("n", F.length("value").cast("double")).withColumn("chars", F.split(F.substring("value", 1, 256), ""))
+    found = found.withColumn("n", F.length("value").cast("double")).withColumn("chars", F.array_remove(F.array_distinct(F.split("value", "")), ""))
     named = F.col("candidate").rlike(NAMED)
     near = F.lower("before")
     made: dict[str, Column] = {
         "digits": count("0-9") / F.col("n"), "upper": count("A-Z") / F.col("n"), "lower": count("a-z") / F.col("n"), "symbols": count("^A-Za-z0-9") / F.col("n"),
         "is_hex": flag(F.col("value").rlike("^[0-9a-f]+$|^[0-9A-F]+$")), "is_number": flag(F.col("value").rlike("^[0-9+/_-]+$")),
-        "changes": (runs(kinds) - 1) / F.col("n"), "vowel_changes": (runs(sounds) - 1) / F.col("n"), "distinct": F.size(F.array_distinct("chars")) / F.least(F.col("n"), F.lit(256.0)), "entropy": entropy,
+        "changes": (runs(kinds) - 1) / F.col("n"), "vowel_changes": (runs(sounds) - 1) / F.col("n"), "distinct": F.size("chars") / F.col("n"), "entropy": entropy,
         "dictionary": 1 - F.length(F.regexp_replace(F.lower("value"), "|".join(DICTIONARY), "")) / F.col("n"),
         "slashes": count("/") / F.col("n"), "in_path": flag(F.col("before").rlike(r"[/\\.]$|/\S*$") | F.col("after").rlike(r"^[/\\]|^\.[a-z]{2,4}\b")), "in_address": flag(F.col("before").rlike(r"(?:://|www\.|@)\S*$") | F.col("after").rlike("^@")),
         "named": flag(named), "keyword_before": flag(named | near.rlike(f"(?:{KEYWORDS})\\W{{0,4}}\\w{{0,8}}\\W{{0,4}}$")), "hash_before": flag(near.rlike(r"\b(?:sha-?\d*|md5|commit|digest|checksum|hash|etag|uuid|guid|id|rev|revision|build|version|serial|isbn|order|phone|card|tel)\W{1,4}$")), "sample_before": flag(near.rlike(r"(?:example|sample|e\.g\.|placeholder|dummy|such as)\W{0,4}(?:\w+\W{1,4}){0,2}$")),
         "assigned": flag(F.col("candidate").rlike("[=:]") & named | F.col("before").rlike(r"[=:]\s{0,2}[\"']?$")), "quoted": flag(F.col("after").rlike("^[\"']")),
-        "known_prefix": flag(F.col("value").rlike(r"^(?:AKIA[A-Z0-9]{16}$|ASIA[A-Z0-9]{16}$|gh[pousr]_|sk_live_|xox[abprs]-|AIza|eyJ)")), "uuid": flag(F.col("value").rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")),
+        "known_prefix": flag(F.col("value").rlike(r"^(?:AKIA[A-Z0-9]{16}$|ASIA[A-Z0-9]{16}$|gh[pousr]_|sk_live_|xox[abprs]-|AIza|eyJ|-----BEGIN)")), "uuid": flag(F.col("value").rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")),
     }
     return found.withColumns(made).drop("chars")
 
 
-def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
-    """before, candidate, after, label: findings made by rule from hashes of row numbers, secrets and look-alikes by turns."""
+def labelled_findings(spark: SparkSession, rows: int = 4000, first: int = 0) -> DataFrame:
+    """before, candidate, after, label: findings made by rule from hashes of row numbers from first on, secrets and look-alikes by turns."""
     hexa = lambda k, n: F.substring(F.sha2(F.concat(F.lit(k), F.col("id").cast("string")), 256), 1, n)
     big = lambda k, n: F.substring(F.translate(F.upper(F.concat(hexa(k, 64), hexa(k + "'", 64))), "0189", "QXYZ"), 1, n)
     mixed = lambda k, n: F.substring(F.regexp_replace(F.base64(F.unhex(F.concat(hexa(k, 64), hexa(k + "'", 64)))), "[+/=]", "x"), 1, n)
@@ -89,6 +102,8 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     word = F.element_at(F.array(*[F.lit(x) for x in ("and the", "of this", "das und", "que la", "avec les", "in that", "we set", "here is", "it was", "")]), (F.pmod(F.xxhash64(F.col("id")), F.lit(10)) + 1).cast("int"))
     lit, cat = F.lit, F.concat
     kinds = [
+        (cat(word, lit(" DB_")), cat(lit("PASSWORD="), mixed("I", 14)), lit(" on"), 1), (word, cat(lit("-----BEGIN RSA PRIVATE KEY-----\n"), mixed("J", 80), lit("\n-----END RSA PRIVATE KEY-----")), lit(""), 1),
+        (cat(word, lit(" postgres://")), cat(lit("admin:"), mixed("K", 12)), lit("@db"), 1), (cat(word, lit(" https://")), lit("user:password"), lit("@host"), 0), (cat(word, lit(" MAIL_")), lit("PASSWORD=changeme"), lit(" on"), 0),
         (word, cat(lit("AKIA"), base32("a", 16)), lit(" and"), 1), (word, cat(lit('token = "'), hexa("b", 40)), lit('" the'), 1), (word, cat(lit("password="), hexa("c", 18)), lit(" of"), 1),
         (word, cat(lit("ghp_"), mixed("d", 36)), lit(" in"), 1), (word, cat(lit("sk_live_"), mixed("e", 24)), lit(""), 1), (cat(word, lit(" api_key: ")), cat(lit("api_key="), mixed("f", 32)), lit(" to"), 1),
         (word, cat(lit("secret: '"), mixed("g", 40)), lit("'"), 1), (cat(word, lit(" Authorization: Bearer ")), cat(lit("eyJ"), mixed("h", 60)), lit(""), 1), (word, cat(lit("password: "), mixed("i", 12)), lit(" is"), 1), (word, cat(lit("AKIA"), big("j", 16)), lit("."), 1),
@@ -101,9 +116,10 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     pick = F.pmod("id", F.lit(len(kinds)))
     chosen = F.lit(None)
     for k, (before, candidate, after, label) in enumerate(kinds):
-        row = F.struct(cat(before, lit(" ")).alias("before") if label or k > 12 else before.alias("before"), candidate.alias("candidate"), after.alias("after"), lit(float(label)).alias("label"))
+        ends_open = before is not word  # what stands before ends where the candidate starts
+        row = F.struct(before.alias("before") if ends_open else cat(before, lit(" ")).alias("before"), candidate.alias("candidate"), after.alias("after"), lit(float(label)).alias("label"))
         chosen = F.when(pick == k, row).otherwise(chosen) if k else F.when(pick == k, row)
-    return spark.range(rows).select(chosen.alias("c")).select("c.*")
+    return spark.range(first, first + rows).select(chosen.alias("c")).select("c.*")
 
 
 def fit(findings: DataFrame, trees: int = 40, depth: int = 10, seed: int = 5) -> PipelineModel:
