@@ -29,14 +29,15 @@ KEYWORDS = f"{NAMES}|auth|bearer|credential"
 _IS = r"[\"']?\s*+[=:]\s*+[\"']?"
 KNOWN = "AKIA|ASIA|gh[pousr]_|sk_live_|sk_test_|xox[abprs]-|AIza|eyJ"
 #: A private key block, a named value, a value in an address before its host, a known prefix, or a long word; of long words those
-#: without a digit are unmarked again (WORD). A name may stand at the end of a longer one, as in DB_PASSWORD. Quantifiers that can't help
-#: by giving back are possessive: a long run is read once.
+#: without a digit are unmarked again (WORD), and one that ends in a name and has a value is no candidate but its name and value. A name
+#: may stand at the end of a longer one, as in DB_PASSWORD. Quantifiers that can't help by giving back are possessive: a long run is read
+#: once.
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]*+PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]*+PRIVATE KEY-----)?"
+    r"-----BEGIN (?:[A-Z0-9]++ )*?PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END (?:[A-Z0-9]++ )*?PRIVATE KEY-----)?"
     rf"|(?i:(?<![A-Za-z0-9])(?:{NAMES}){_IS})[^\s\"'<>]{{6,}}"
     r"|(?<=://)[^\s/:@\"'<>]++:[^\s/@\"'<>]{3,}+(?=@)"
     rf"|\b(?:{KNOWN})[A-Za-z0-9_./+-]{{8,}}"
-    r"|(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9_+/-]{14,}+={0,2}"
+    rf"|(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9_+/-]{{14,}}+(?!(?<=(?i:{NAMES})){_IS})={{0,2}}"
 )
 #: A marked long word without a digit.
 WORD = rf"\ue000(?!{KNOWN})([A-Za-z][A-Za-z_+/-]{{14,}}+={{0,2}})\ue000"
