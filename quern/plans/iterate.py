@@ -6,8 +6,11 @@ stay short and outlive lost executors. Only a count of changes comes to the driv
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -28,10 +31,43 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it: its lineage ends, and it outlives lost executors."""
     path = folder or shared_folder(df.sparkSession)
+    if _scopes and not folder:
+        _scopes[-1].append(path)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Folders that cut() made in calls of tidied functions that still run, on this driver.
+_scopes: list[list[str]] = []
+
+
+def tidied(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Writes what f(df, ...) returns, then deletes the tables that cut() wrote within, and lets Spark's cleaner take their shuffles."""
+
+    @wraps(f)
+    def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+        spark = df.sparkSession
+        _scopes.append([])
+        try:
+            found = f(df, *args, **kwargs)
+            path = shared_folder(spark)
+            found.write.parquet(path)
+            schema = found.schema
+        finally:
+            made = _scopes.pop()
+            for folder in made:
+                place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        if _scopes:
+            _scopes[-1].append(path)
+        found = None
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        return spark.read.schema(schema).parquet(path)
+
+    return run
+
+
 def in_blocks(df: DataFrame, most: int, *keys: str) -> list[DataFrame]:
     """df whole where it has at most `most` rows, else in parts by a hash of keys, of about that many rows each. For lists that are broadcast."""
     count = df.count()
