@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import wraps
@@ -14,7 +15,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.plans.iterate import components, cut, shared_folder  # noqa: F401
+from quern.plans.iterate import components, cut, shared_folder, tidied  # noqa: F401
 
 # The system's allocator gives memory of Arrow batches back; others keep it in each worker.
 pa.set_memory_pool(pa.system_memory_pool())
@@ -30,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
     """Within, Arrow batches for Python hold so many bytes at most: less memory for rows with large values."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)
@@ -46,6 +47,7 @@ def trimming(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
     def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
+        gc.collect()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         if trim:
             trim(0)
@@ -161,6 +163,21 @@ def passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
+def summed(df: DataFrame, key: str, values: str, load: Callable[[bytes], np.ndarray], dump: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """key and the sum of the arrays in values, of a fixed number of keys. Rows of a key stream through one task, which holds its sums only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for k, data in rows(batches, key, values):
+            part = load(data)
+            total[k] = total[k] + part if k in total else part
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(map(dump, total.values())), pa.binary())], names=[key, values])
+
+    dealt = df.select(F.col(key).cast("int").alias(key), values).repartition(key)
+    return dealt.mapInArrow(trimming(run), f"{key} int, {values} binary")
+
+
 def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     for batch in batches:
         yield from zip(*(batch.column(n).to_pylist() for n in names), strict=True)

@@ -7,7 +7,8 @@ compared inside blocks: of a set's shingles, in an order that all sets share, wi
 n - ceil(t * n) + 1 are its prefix, and two sets of similarity t or more share one in both prefixes. A block is the sets that have
 a shingle in their prefixes. No link is lost, and what is found is verified on whole sets.
 
-1. Documents of equal sets are one: their least id stands for all. Counts of hashed shingles, of a fixed size, give the order.
+1. Documents of equal sets are one: their least id stands for all. Counts of hashed shingles, of a fixed size, give the order; a count
+   that many shingles share costs work, never a link.
 2. Blocks are counted by grouped sums; blocks of the same members are one. In each, members are compared to the least member, and
    components are made of the links. That joins most groups of near copies, however large, with a row or two a member.
 3. Blocks that still have members of two components are searched in full, parted by size: members of the largest component need no
@@ -15,8 +16,9 @@ a shingle in their prefixes. No link is lost, and what is found is verified on w
    R-tree. A first pass takes each member's best pair only; a second, over what is still apart, takes all.
 
 Defined cases: a null text has no words; fewer than five words make one shingle; an empty set links with nothing; a row with a null
-id links with nothing and has a null component; rows that repeat an id are linked with one another; an empty table gives an empty
-result; other columns are not read.
+id links with nothing and has a null component; rows that repeat an id are linked with one another; a similarity of exactly the
+threshold links, and of equal sets the least id stands for all; texts of any length are read whole; shingles are told apart by hashes
+of 64 bits; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,16 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Out, Rolling, bit_filter, bounded_batches, components, cut, mix, passes, rows, table, trimming, word_hashes, without_ids, words_of
+from quern.llm.common import Out, Rolling, bit_filter, bounded_batches, components, cut, mix, passes, rows, summed, table, tidied, trimming, word_hashes, without_ids, words_of
 
 SHINGLE = 5
 #: Similarity in hundredths.
 PERCENT = 80
 #: Least and greatest number of coordinates of a point; between them a set of n has n / 2 to n.
 GROUPS = 32, 1 << 14
-#: Slots of the counts that order shingles: 8 MB, whatever the input.
-SLOTS = 1 << 20
-CHUNKS = 32
+#: Slots of the counts that order shingles, and where a count stops: 16 MB, whatever the input.
+SLOTS, MOST = 1 << 24, 255
+CHUNKS = 256
 #: Points of either side in a unit of step 3.
 UNIT = 256
 FANOUT = 8
@@ -75,6 +77,18 @@ def point(items: np.ndarray) -> np.ndarray:
     return np.bincount(((items >> np.uint64(20)) & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype("<u2")
 
 
+def packed(p: np.ndarray) -> bytes:
+    """A point in half a byte a coordinate: what is over 15 is cut off, and the sum of that comes first."""
+    low = np.minimum(p, 15).astype(np.uint8)
+    return int(p.sum(dtype=np.int64) - low.sum(dtype=np.int64)).to_bytes(8, "little") + (low[0::2] | low[1::2] << 4).tobytes()
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, int]:
+    """A point's coordinates up to 15 and the sum of what was cut off: no overlap of two is more than the bound of the coordinates and both sums."""
+    both = np.frombuffer(data, np.uint8, offset=8)
+    return np.stack((both & 15, both >> 4), axis=1).ravel(), int.from_bytes(data[:8], "little")
+
+
 def folded(p: np.ndarray, groups: int) -> np.ndarray:
     """A point, or a row each, with fewer coordinates: groups that agree in their lower bits are one."""
     return p.reshape(*p.shape[:-1], -1, groups).sum(-2, dtype=np.int32)
@@ -83,12 +97,13 @@ def folded(p: np.ndarray, groups: int) -> np.ndarray:
 class Forest:
     """R-trees over points of several numbers of coordinates, one for each that a query meets."""
 
-    def __init__(self, points: list[np.ndarray], sizes: np.ndarray):
-        self.sizes, self.points, self.trees = sizes, points, {}
+    def __init__(self, points: list[np.ndarray], sizes: np.ndarray, over: int = 0):
+        """over: the most that was cut off of a point."""
+        self.sizes, self.points, self.trees, self.over = sizes, points, {}, over
         self.groups = np.array([len(p) for p in points])
 
-    def search(self, q: np.ndarray, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """As of a tree, over all of them."""
+    def search(self, q: np.ndarray, size: int, percent: int, over: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """As of a tree, over all of them. over: what was cut off of q."""
         found, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
         for groups in np.unique(self.groups):
             level = int(min(groups, len(q)))
@@ -98,7 +113,7 @@ class Forest:
                 mine = np.flatnonzero(self.groups == groups)
                 self.trees[groups, level] = mine, Tree(folded(np.stack([self.points[k] for k in mine]), level), self.sizes[mine])
             mine, tree = self.trees[groups, level]
-            at, score = tree.search(folded(q, level), size, percent)
+            at, score = tree.search(folded(q, level), size, percent, over + self.over)
             found.append(mine[at])
             scores.append(score)
         return np.concatenate(found), np.concatenate(scores)
@@ -117,26 +132,28 @@ class Tree:
             high, small = np.maximum.reduceat(high, at), np.minimum.reduceat(small, at)
             self.levels.append((high, small))
 
-    def search(self, q: np.ndarray, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions, in the order given, of points whose bound reaches the overlap needed with a set of this size, and the bound over what is needed."""
+    def search(self, q: np.ndarray, size: int, percent: int, over: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Positions, in the order given, of points whose bound and over reach the overlap needed with a set of this size, and the bound over what is needed."""
         open_ = np.zeros(1, np.int64) if self.levels else np.arange(len(self.points))
         for high, small in reversed(self.levels):
-            good = np.minimum(high[open_], q).sum(1) >= needed(small[open_], np.int64(size), percent)
+            good = np.minimum(high[open_], q).sum(1) + over >= needed(small[open_], np.int64(size), percent)
             open_ = (open_[good][:, None] * FANOUT + np.arange(FANOUT)).ravel()
             below = len(self.points) if high is self.levels[0][0] else len(self.levels[[x[0] is high for x in self.levels].index(True) - 1][0])
             open_ = open_[open_ < below]
         least, most = np.minimum(self.sizes[open_], size), np.maximum(self.sizes[open_], size)
-        bound, need = np.minimum(self.points[open_], q).sum(1), needed(self.sizes[open_], np.int64(size), percent)
+        bound, need = np.minimum(self.points[open_], q).sum(1) + over, needed(self.sizes[open_], np.int64(size), percent)
         good = (bound >= need) & (100 * least >= percent * most)
         return self.order[open_[good]], bound[good] / np.maximum(need[good], 1)
 
 
 def _profiles(k: int, slots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, counts = Out(_profile), np.zeros(slots, np.int64)
+        out, counts = Out(_profile), np.zeros(slots, np.uint8)
         for doc, text in rows(batches, "doc", "text"):
             items = shingles(text, k)
-            np.add.at(counts, (items & np.uint64(slots - 1)).astype(np.int64), 1)
+            at = (items & np.uint64(slots - 1)).astype(np.int64)
+            held = counts[at]
+            counts[at] = held + (held < MOST)
             sums = [int(x.sum(dtype=np.uint64)) for x in (mix(items ^ np.uint64(0x1234567)), mix(items + np.uint64(0x89ABCDEF)))]
             hashed = int(mix(np.array([0 if doc is None else doc], np.int64).view(np.uint64))[0])
             out.add([doc], [len(items)], *([x - (1 << 64) if x >> 63 else x] for x in (*sums, hashed)), [None], [None])
@@ -145,7 +162,7 @@ def _profiles(k: int, slots: int):
         width = slots // CHUNKS
         used = [c for c in range(CHUNKS) if counts[c * width : (c + 1) * width].any()]
         for c in used:
-            out.add([None], [None], [None], [None], [None], [c], [counts[c * width : (c + 1) * width].astype("<i4").tobytes()])
+            out.add([None], [None], [None], [None], [None], [c], [_packed(counts[c * width : (c + 1) * width])])
         if out.n:
             yield _lists(out)
 
@@ -158,9 +175,13 @@ def _lists(out: Out) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, schema=out.schema)
 
 
-def _sum_counts(key: tuple, found: pa.Table) -> pa.Table:
-    total = sum((np.frombuffer(x.as_py(), "<i4").astype(np.int64) for x in found["counts"]), np.int64(0))
-    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+def _packed(counts: np.ndarray) -> bytes:
+    return pa.compress(np.minimum(counts, MOST).astype(np.uint8).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    """Counts of a chunk, in a type that their sums over partitions fit."""
+    return np.frombuffer(pa.decompress(data, SLOTS // CHUNKS, "zstd", asbytes=True), np.uint8).astype(np.uint32)
 
 
 def _prefix(items: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
@@ -199,7 +220,7 @@ def _candidates(k: int, percent: int, counts, first, wanted):
                 head = _prefix(items, counts.value, percent)
                 if len(hits := head[passes(wanted.value, head)]):
                     fine = point(items)
-                    out.add([docs[i]], [len(items)], [folded(fine, GROUPS[0]).astype("<u4").tobytes()], [fine.tobytes()], [items.astype("<u8").tobytes()], [hits.view(np.int64).tolist()])
+                    out.add([docs[i]], [len(items)], [folded(fine, GROUPS[0]).astype("<u4").tobytes()], [packed(fine)], [items.astype("<u8").tobytes()], [hits.view(np.int64).tolist()])
                     size += 8 * len(items)
                     if size > 8_000_000:
                         yield _lists(out)
@@ -223,16 +244,16 @@ def _verify(percent: int):
     return trimming(run)
 
 
-def _bound(percent: int, kind: str = "<u2"):
-    """Of pairs with points and sizes, those whose bound reaches the overlap needed."""
+def _bound(percent: int, load):
+    """Of pairs with points and sizes, those whose bound reaches the overlap needed. load: a point's coordinates, and what was cut off of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for p, q, n, m in zip(*(batch.column(c).to_pylist() for c in ("pa", "pb", "na", "nb")), strict=True):
-                p, q = np.frombuffer(p, kind), np.frombuffer(q, kind)
+                (p, x), (q, y) = load(p), load(q)
                 level = min(len(p), len(q))
-                good.append(int(np.minimum(folded(p, level), folded(q, level)).sum()) >= -(-percent * (n + m) // (100 + percent)))
+                good.append(int(np.minimum(folded(p, level), folded(q, level)).sum()) + x + y >= -(-percent * (n + m) // (100 + percent)))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return trimming(run)
@@ -258,7 +279,7 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of distinct pairs (a, b), those that their points allow."""
     light = _of_pairs(sets, pairs, ["doc", "n", "point"])
     pointed = pairs.join(light.toDF("a", "na", "pa").hint("merge"), "a").join(light.toDF("b", "nb", "pb").hint("merge"), "b")
-    return cut(pointed.mapInArrow(_bound(percent), "a long, b long"))
+    return cut(pointed.mapInArrow(_bound(percent, unpacked), "a long, b long"))
 
 
 def _links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -284,13 +305,13 @@ def _unit_pairs(percent: int, best: bool):
     def solve(unit: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         probe, doc, comp, main, n, p = (list(x) for x in zip(*unit, strict=True))
         probe, doc, comp, main, n = np.array(probe), np.array(doc, np.int64), np.array(comp, np.int64), main[0], np.array(n, np.int64)
-        p = [np.frombuffer(x, "<u2") for x in p]
+        p, over = zip(*map(unpacked, p), strict=True)
         base = np.flatnonzero(~probe)
         if not len(base):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        tree, a, b = Forest([p[k] for k in base], n[base]), [], []
+        tree, a, b = Forest([p[k] for k in base], n[base], max(over[k] for k in base)), [], []
         for k in np.flatnonzero(probe):
-            found, score = tree.search(p[k], int(n[k]), percent)
+            found, score = tree.search(p[k], int(n[k]), percent, over[k])
             found, score = base[found], score[comp[base[found]] != comp[k]]
             found = found[comp[found] != comp[k]]
             if best and len(found) > 1:
@@ -330,7 +351,8 @@ def _open_blocks(members: DataFrame, labels: DataFrame, percent: int) -> DataFra
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")
     named = cut(labelled.select("block", "doc", F.coalesce("component", "doc").alias("component"), F.explode(F.array(size_class, size_class + 1)).alias("part")))
     sizes = named.groupBy("block", "part", "component").agg(F.count(F.lit(1)).alias("c"))
-    blocks = sizes.groupBy("block", "part").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("components"), F.max(F.struct("c", "component")).alias("main")).where("components > 1")
+    # Written first: a join of two plain shuffles is one that Spark can split where a block is hot.
+    blocks = cut(sizes.groupBy("block", "part").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("components"), F.max(F.struct("c", "component")).alias("main")).where("components > 1"))
     return cut(named.join(blocks.select("block", "part", "m", F.col("main.component").alias("main"), F.col("main.c").alias("main_size")).hint("merge"), ["block", "part"]))
 
 
@@ -348,6 +370,7 @@ def _unresolved_pairs(dealt: DataFrame, points: DataFrame, percent: int, unit: i
     return indexed.union(probes).repartition(*key).sortWithinPartitions(*key).mapInArrow(_unit_pairs(percent, best), "a long, b long").distinct()
 
 
+@tidied
 @bounded_batches
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, k: int = SHINGLE, unit: int = UNIT) -> DataFrame:
     """Returns id, n_shingles and component_id (the least id reachable by links) for each document."""
@@ -355,10 +378,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
     both = cut(base.mapInArrow(_profiles(k, SLOTS), "doc long, n long, s1 long, s2 long, mixed long, chunk int, counts binary"))
     profiles = both.where("chunk is null").select("doc", "n", "s1", "s2", "mixed")
-    counts = np.zeros(SLOTS, np.int64)
-    summed = both.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(_sum_counts, "chunk int, counts binary")
-    for row in summed.toLocalIterator():  # CHUNKS rows at most
-        counts[row["chunk"] * (SLOTS // CHUNKS) : (row["chunk"] + 1) * (SLOTS // CHUNKS)] = np.frombuffer(row["counts"], "<i8")
+    counts = np.zeros(SLOTS, np.uint8)
+    for row in summed(both.where("chunk is not null"), "chunk", "counts", _unpacked, _packed).toLocalIterator():  # CHUNKS rows at most
+        counts[row["chunk"] * (SLOTS // CHUNKS) : (row["chunk"] + 1) * (SLOTS // CHUNKS)] = _unpacked(row["counts"])
     counts = sc.broadcast(counts)
 
     sets = cut(profiles.where("n > 0 and doc is not null").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc", "mixed")).alias("first")).select("s1", "s2", "n", "first.*"))
@@ -378,7 +400,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lows = blocks.join(found.select(F.col("doc").alias("low"), F.col("n").alias("na"), F.col("coarse").alias("pa")).hint("merge"), "low")
     inside = found.select("doc", "n", F.explode("blocks").alias("block"), "coarse")
     stars = inside.join(lows.hint("merge"), "block").where("low < doc").where(alike(F.col("na"), F.col("n"))).select(F.col("low").alias("a"), F.col("doc").alias("b"), "na", F.col("n").alias("nb"), "pa", F.col("coarse").alias("pb"))
-    stars = cut(stars.mapInArrow(_bound(percent, "<u4"), "a long, b long").distinct())
+    stars = cut(stars.mapInArrow(_bound(percent, lambda x: (np.frombuffer(x, "<u4"), 0)), "a long, b long").distinct())
     tried = _few(_near(stars, found, percent))
     links = _links(tried, found, percent)
     labels = cut(components(links))
