@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Out, bounded_batches, cut, rows, table, trimming, without_ids
+from quern.llm.common import Out, bounded_batches, cut, rows, summed, table, trimming, without_ids
 
 SLOTS = 1 << 17
 CHUNKS = 16
@@ -36,8 +36,11 @@ RANK = 256
 BLOCKS = 6
 #: Words in a window; windows start half of that apart. A passage has windows of the least width that holds it, and of WINDOW words.
 WINDOW, WIDTHS = 48, (4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
-#: Words of a text that are searched at once, and how far such parts reach into the next; multiples of half of each width.
+#: Words that are searched at once, and how far such parts reach into the next; multiples of half of each width.
 PART, REACH = 16_320, 384
+#: Texts are laid end to end and searched together. Each starts at a multiple of GAP, GAP words or more after the one before, so that
+#: its windows are those it has by itself, and none holds words of two.
+GAP = 192
 COSINE = 0.3
 #: Norm of what is left of a passage without its weightiest words.
 REST = 0.15
@@ -68,16 +71,11 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([*range(CHUNKS), CHUNKS], pa.int32()), pa.array([*(counts[c * width : (c + 1) * width].tobytes() for c in range(CHUNKS)), np.array([n]).tobytes()], pa.binary())], schema=_counted)
 
 
-def _sum_counts(key: tuple, found: pa.Table) -> pa.Table:
-    total = sum((np.frombuffer(x.as_py(), np.int64) for x in found["counts"]), np.int64(0))
-    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-
 def inverse_frequencies(texts: DataFrame) -> np.ndarray:
     """log((1 + documents) / (1 + documents with it)) of each slot, over all of texts."""
     counts, n = np.zeros(SLOTS), 0
-    summed = texts.mapInArrow(_frequencies, "chunk int, counts binary").groupBy("chunk").applyInArrow(_sum_counts, "chunk int, counts binary")
-    for r in summed.toLocalIterator():  # CHUNKS + 1 rows
+    found = summed(texts.mapInArrow(_frequencies, "chunk int, counts binary"), "chunk", "counts", lambda x: np.frombuffer(x, np.int64), lambda x: x.tobytes())
+    for r in found.toLocalIterator():  # CHUNKS + 1 rows
         values = np.frombuffer(r["counts"], np.int64)
         if r["chunk"] == CHUNKS:
             n = int(values[0])
@@ -149,7 +147,7 @@ class Space:
     def positions(self, slots: np.ndarray) -> np.ndarray:
         """Rows of the projection; len(slots) of the space for words that it doesn't have."""
         if self.at is None:
-            self.at = np.full(SLOTS, len(self.slots), np.int32)
+            self.at = np.full(SLOTS + 1, len(self.slots), np.int32)  # SLOTS itself stands between texts
             self.at[self.slots] = np.arange(len(self.slots))
             self.padded = np.vstack((self.basis, np.zeros((1, self.basis.shape[1]), np.float32)))
         return self.at[slots]
@@ -178,15 +176,15 @@ def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
     return len(a) - row.bit_count()
 
 
-def _candidates(slots: np.ndarray, idf: np.ndarray, space: Space, cosine: float) -> dict[int, list[tuple[float, int, int]]]:
-    """By passage: similarity, and start and end of the words to look at, of the windows that reach the cosine or hold enough rarer words."""
-    found: dict[int, list[tuple[float, int, int]]] = {}
+def _candidates(slots: np.ndarray, idf: np.ndarray, space: Space, cosine: float) -> dict[int, list[tuple[float, int, int, int]]]:
+    """By passage: similarity, start and end of the words to look at, and the window's last place, of the windows that reach the cosine or hold enough rarer words."""
+    found: dict[int, list[tuple[float, int, int, int]]] = {}
     for first in range(0, max(1, len(slots) - REACH), PART):
         _part(slots[first : first + PART + REACH], first, idf, space, cosine, found)
     return found
 
 
-def _part(slots: np.ndarray, first: int, idf: np.ndarray, space: Space, cosine: float, found: dict[int, list[tuple[float, int, int]]]) -> None:
+def _part(slots: np.ndarray, first: int, idf: np.ndarray, space: Space, cosine: float, found: dict[int, list[tuple[float, int, int, int]]]) -> None:
     at = space.positions(slots)
     weight = idf[slots].astype(np.float64)
     total = np.concatenate(([0], np.cumsum(weight**2)))  # a term's weight is sqrt(count) * idf, so that squares add up word by word
@@ -210,14 +208,14 @@ def _part(slots: np.ndarray, first: int, idf: np.ndarray, space: Space, cosine:
         start = np.arange(count) * step
         end = np.minimum(start + width, len(slots))
         norm = np.sqrt(total[end] - total[start])
-        hopeful = (sums.reshape(count, many) >= (cosine - REST) * norm[:, None]).any(1)
+        hopeful = (norm > 0) & (sums.reshape(count, many) >= (cosine - REST) * norm[:, None]).any(1)
         for k in np.flatnonzero(hopeful):
             i, j = int(start[k]), int(end[k])
             near = cosines(of, i, j)
             for q in np.flatnonzero(near >= cosine):
                 p = int(of[q])
                 reach = len(space.words[p]) // 2 + 4
-                found.setdefault(p, []).append((float(near[q]), max(0, first + i - reach), first + j + reach))
+                found.setdefault(p, []).append((float(near[q]), max(0, first + i - reach), first + j + reach, first + j - 1))
     places, passages, ones = space.rarer.of(at)
     for width, of in space.own.items() if len(places) else ():
         step, many = width // 2, len(of)
@@ -227,7 +225,7 @@ def _part(slots: np.ndarray, first: int, idf: np.ndarray, space: Space, cosine:
         enough = held[:-2] + held[1:-1] + held[2:] >= space.need[of]  # three steps hold all of a copy, wherever it starts
         for k, q in np.argwhere(enough):
             i, j = max(0, (int(k) - 2) * step), min((int(k) + 1) * step, len(slots))
-            found.setdefault(int(of[q]), []).append((float(cosines(of[q : q + 1], i, j)[0]), first + i, first + j))
+            found.setdefault(int(of[q]), []).append((float(cosines(of[q : q + 1], i, j)[0]), first + i, first + j, first + j - 1))
 
 
 def _among(of: np.ndarray, passages: int, place: np.ndarray, passage: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -238,30 +236,55 @@ def _among(of: np.ndarray, passages: int, place: np.ndarray, passage: np.ndarray
     return place[among], number[passage[among]], weight[among]
 
 
+def _laid(texts: list[tuple[int | None, list[bytes], np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of texts end to end, and where each starts."""
+    sizes = np.array([-(-len(x[1]) // GAP) * GAP + GAP for x in texts])
+    starts = np.cumsum(sizes) - sizes
+    slots = np.full(int(sizes.sum()), SLOTS, np.int64)
+    for start, (_, words, mine) in zip(starts.tolist(), texts, strict=True):
+        slots[start : start + len(words)] = mine
+    return slots, starts
+
+
+def _hits(texts: list[tuple[int | None, list[bytes], np.ndarray]], idf: np.ndarray, spaces: list[Space], cosine: float, overlap: float, answer: float) -> Iterator[tuple]:
+    """A row for each passage that each text holds."""
+    slots, starts = _laid(texts)
+    for space in spaces:
+        for p, windows in _candidates(slots, idf, space, cosine).items():
+            passage = space.words[p]
+            tail = passage[-(-3 * len(passage) // 4) - 1 :] if len(passage) > 4 else passage
+            best: dict[int, tuple[float, float, float]] = {}
+            places = np.searchsorted(starts, [x[3] for x in windows], "right") - 1
+            for k, (similarity, i, j, _) in zip(places.tolist(), windows, strict=True):
+                near = texts[k][1][max(0, i - int(starts[k])) : j - int(starts[k])]
+                share, last = common_subsequence(passage, near) / len(passage), common_subsequence(tail, near) / len(tail)
+                if share >= overlap and last >= answer:
+                    best[k] = max(best.get(k, (0.0, 0.0, 0.0)), (share, last, similarity))
+            yield from ((texts[k][0], space.items[p], x[2], x[0], x[1]) for k, x in best.items())
+
+
 def _matches(idf, spaces, cosine: float, overlap: float, answer: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Out(_hit)
+        out, some, size, weights = Out(_hit), [], 0, np.append(idf.value, np.float32(0))
+
+        def search() -> None:
+            for row in _hits(some, weights, spaces.value, cosine, overlap, answer):
+                for column, value in zip(out.parts, row, strict=True):
+                    column.append([value])
+                out.n += 1
+
         for doc, text in rows(batches, "doc", "text"):
-            words = terms(text)
-            if not words:
+            if not (words := terms(text)):
                 continue
-            slots = slots_of(words)
-            for space in spaces.value:
-                for p, windows in _candidates(slots, idf.value, space, cosine).items():
-                    passage = space.words[p]
-                    tail = passage[-(-3 * len(passage) // 4) - 1 :] if len(passage) > 4 else passage
-                    best = None
-                    for similarity, i, j in sorted(windows, reverse=True):
-                        near = words[i:j]
-                        share, last = common_subsequence(passage, near) / len(passage), common_subsequence(tail, near) / len(tail)
-                        if share >= overlap and last >= answer:
-                            best = max(best or (0.0, 0.0, 0.0), (share, last, similarity))
-                    if best:
-                        for column, value in zip(out.parts, (doc, space.items[p], best[2], best[0], best[1]), strict=True):
-                            column.append([value])
-                        out.n += 1
+            some.append((doc, words, slots_of(words)))
+            size += len(words) + 2 * GAP
+            if size >= PART:
+                search()
+                some, size = [], 0
             if out.n >= 10_000:
                 yield _rows(out)
+        if some:
+            search()
         if out.n:
             yield _rows(out)
 
