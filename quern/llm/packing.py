@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import bounded_batches, cut, table
+from quern.llm.common import bounded_batches, cut, table, trimming
 from quern.llm.tokenizing import Encoder
 
 CAPACITY = 4096
@@ -55,8 +55,10 @@ def _tokenize(vocabulary: str, end_id: int, capacity: int):
                     part = ids[k : k + 4 * capacity]
                     out.append((key, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 5, _piece, strict=True)], schema=_piece)
+        encoder = None
+        Encoder.forget()
 
-    return run
+    return trimming(run)
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,11 +16,11 @@ import numpy as np
 
 _DOUBLE = re.compile(r" \s")
 #: Entries in the caches of a worker, about 250 bytes each; full ones keep what the last texts used.
-CACHE = 300_000
+CACHE = 200_000
 #: Characters of the pieces in the caches.
-CACHE_CHARACTERS = 12_000_000
+CACHE_CHARACTERS = 8_000_000
 #: Characters of texts that are looked at together.
-CHUNK = 3_000_000
+CHUNK = 1_000_000
 
 
 def _dependent(text: str) -> bool:
@@ -57,6 +57,11 @@ class Encoder:
             cls._known[path] = cls(path)
         return cls._known[path]
 
+    @classmethod
+    def forget(cls) -> None:
+        """At a partition's end: other stages run in the same workers."""
+        cls._known.clear()
+
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
