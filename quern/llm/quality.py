@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import bounded_batches, cut, table, trimming, without_ids
+from quern.llm.common import bounded_batches, cut, summed, table, trimming, without_ids
 
 #: Random features; the normal equations are DIM x DIM.
 DIM = 256
@@ -95,11 +95,6 @@ def _equations(features: Features):
     return trimming(run)
 
 
-def _sum_rows(key: tuple, found: pa.Table) -> pa.Table:
-    total = sum((np.frombuffer(x.as_py()) for x in found["values"]), np.float64(0))
-    return pa.table({"row": pa.array([key[0].as_py()], pa.int32()), "values": pa.array([total.tobytes()], pa.binary())})
-
-
 def isotonic(weights: np.ndarray, means: np.ndarray) -> np.ndarray:
     """The nearest non-decreasing values, by pooling adjacent violators."""
     stack: list[list[float]] = []
@@ -146,7 +141,7 @@ def fit(measured: DataFrame, labels: DataFrame) -> Model:
         return Model(None, None, np.zeros(0), np.zeros(0), 0.5 if not n else float(mean))
     moments = known.agg(*[f(F.col("x")[k]) for k in range(STATISTICS) for f in (F.avg, F.stddev_pop)]).first()
     features = Features(np.array(moments[::2]), np.maximum(np.array(moments[1::2]), 1e-6))
-    rows_of = known.where("not later").mapInArrow(_equations(features), "row int, values binary").groupBy("row").applyInArrow(_sum_rows, "row int, values binary")
+    rows_of = summed(known.where("not later").mapInArrow(_equations(features), "row int, values binary"), "row", "values", np.frombuffer, lambda x: x.tobytes())
     found = {r["row"]: np.frombuffer(r["values"]) for r in rows_of.toLocalIterator()}  # DIM rows
     if not found:
         return Model(None, None, np.zeros(0), np.zeros(0), float(mean))
