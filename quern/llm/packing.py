@@ -55,7 +55,6 @@ def _tokenize(vocabulary: str, end_id: int, capacity: int):
                     part = ids[k : k + 4 * capacity]
                     out.append((key, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 5, _piece, strict=True)], schema=_piece)
-        encoder = None
         Encoder.forget()
 
     return trimming(run)

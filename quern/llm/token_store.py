@@ -130,7 +130,6 @@ def _encode(vocabulary: str, end_id: int, width: int, bounds: np.ndarray):
             if width == 2:
                 ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
             yield pa.RecordBatch.from_arrays([pa.array(low.astype(np.int32)), pa.array(keys), pa.array(ids, pa.binary())], schema=_encoded)
-        encoder = None
         Encoder.forget()
 
     return trimming(run)

@@ -59,8 +59,11 @@ class Encoder:
 
     @classmethod
     def forget(cls) -> None:
-        """At a partition's end: other stages run in the same workers."""
-        cls._known.clear()
+        """Empties the caches at a partition's end: other stages run in the same workers. The tokenizers themselves stay."""
+        for known in cls._known.values():
+            known.first.clear()
+            known.later.clear()
+            known.held = 0
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
