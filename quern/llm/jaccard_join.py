@@ -11,9 +11,12 @@ a shingle in their prefixes. No link is lost, and what is found is verified on w
    that many shingles share costs work, never a link.
 2. Blocks are counted by grouped sums; blocks of the same members are one. In each, members are compared to the least member, and
    components are made of the links. That joins most groups of near copies, however large, with a row or two a member.
-3. Blocks that still have members of two components are searched in full, parted by size: members of the largest component need no
+3. A pair is to be found in the block of the first shingle that both have, so that its overlap is at most what either has from there
+   on. Members that can't reach an overlap with any size in their block leave it: of near copies, those that have changed too much.
+4. Blocks that still have members of two components are searched in full, parted by size: members of the largest component need no
    comparison with one another; the others are dealt, block-wise, against all. Each such unit has a bounded number of points, in an
-   R-tree. A first pass takes each member's best pair only; a second, over what is still apart, takes all.
+   R-tree. A first pass takes each member's best pair only; a second, over what is still apart, takes all. A group whose members
+   allow one another by all these bounds and yet don't link costs pairs in the square of its size.
 
 Defined cases: a null text has no words; fewer than five words make one shingle; an empty set links with nothing; a row with a null
 id links with nothing and has a null component; rows that repeat an id are linked with one another; a similarity of exactly the
@@ -40,14 +43,14 @@ GROUPS = 32, 1 << 14
 #: Slots of the counts that order shingles, and where a count stops: 16 MB, whatever the input.
 SLOTS, MOST = 1 << 24, 255
 CHUNKS = 256
-#: Points of either side in a unit of step 3.
+#: Points of either side in a unit of step 4.
 UNIT = 256
 FANOUT = 8
 
 _rolling = Rolling()
 _profile = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("mixed", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
-_member = pa.schema([("shingle", pa.int64()), ("doc", pa.int64()), ("n", pa.int32())])
-_candidate = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("coarse", pa.binary()), ("point", pa.binary()), ("items", pa.binary()), ("blocks", pa.list_(pa.int64()))])
+_member = pa.schema([("shingle", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("place", pa.int32())])
+_candidate = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("coarse", pa.binary()), ("point", pa.binary()), ("items", pa.binary()), ("blocks", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
 
 
 def shingles(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
@@ -190,7 +193,7 @@ def _prefix(items: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _members(k: int, percent: int, counts, first):
-    """A row for each shingle in the prefix of a document that may be the first of its set."""
+    """A row for each shingle in the prefix of a document that may be the first of its set, with its place there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Out(_member)
@@ -199,7 +202,7 @@ def _members(k: int, percent: int, counts, first):
             for i in np.flatnonzero(passes(first.value, mix(docs.view(np.uint64)))):
                 items = shingles(texts[int(i)].as_py(), k)
                 head = _prefix(items, counts.value, percent)
-                out.add(head, np.full(len(head), docs[i]), np.full(len(head), len(items), np.int32))
+                out.add(head, np.full(len(head), docs[i]), np.full(len(head), len(items), np.int32), np.arange(len(head), dtype=np.int32))
                 if out.full():
                     yield out.take()
         if out.n:
@@ -209,7 +212,7 @@ def _members(k: int, percent: int, counts, first):
 
 
 def _candidates(k: int, percent: int, counts, first, wanted):
-    """The documents with a wanted shingle in their prefix: set, point and these shingles."""
+    """The documents with a wanted shingle in their prefix: set, point, these shingles and their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = Out(_candidate), 0
@@ -218,9 +221,9 @@ def _candidates(k: int, percent: int, counts, first, wanted):
             for i in np.flatnonzero(passes(first.value, mix(docs.view(np.uint64)))):
                 items = shingles(texts[int(i)].as_py(), k)
                 head = _prefix(items, counts.value, percent)
-                if len(hits := head[passes(wanted.value, head)]):
+                if len(hits := np.flatnonzero(passes(wanted.value, head))):
                     fine = point(items)
-                    out.add([docs[i]], [len(items)], [folded(fine, GROUPS[0]).astype("<u4").tobytes()], [packed(fine)], [items.astype("<u8").tobytes()], [hits.view(np.int64).tolist()])
+                    out.add([docs[i]], [len(items)], [folded(fine, GROUPS[0]).astype("<u4").tobytes()], [packed(fine)], [items.astype("<u8").tobytes()], [head[hits].view(np.int64).tolist()], [hits.tolist()])
                     size += 8 * len(items)
                     if size > 8_000_000:
                         yield _lists(out)
@@ -296,15 +299,15 @@ def _few(near: DataFrame) -> DataFrame:
 
 
 def _unit_pairs(percent: int, best: bool):
-    """Within units (block, part, i, j), sorted: pairs of a probe and an indexed member of another component whose bound holds.
+    """Within units (block, part, i, j), sorted: pairs of a probe and an indexed member of another component whose bounds hold.
 
     best: of each probe's only the pair with the best bound, and the best with the main component.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def solve(unit: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        probe, doc, comp, main, n, p = (list(x) for x in zip(*unit, strict=True))
-        probe, doc, comp, main, n = np.array(probe), np.array(doc, np.int64), np.array(comp, np.int64), main[0], np.array(n, np.int64)
+        probe, doc, comp, main, onward, n, p = (list(x) for x in zip(*unit, strict=True))
+        probe, doc, comp, main, onward, n = np.array(probe), np.array(doc, np.int64), np.array(comp, np.int64), main[0], np.array(onward, np.int64), np.array(n, np.int64)
         p, over = zip(*map(unpacked, p), strict=True)
         base = np.flatnonzero(~probe)
         if not len(base):
@@ -312,8 +315,9 @@ def _unit_pairs(percent: int, best: bool):
         tree, a, b = Forest([p[k] for k in base], n[base], max(over[k] for k in base)), [], []
         for k in np.flatnonzero(probe):
             found, score = tree.search(p[k], int(n[k]), percent, over[k])
-            found, score = base[found], score[comp[base[found]] != comp[k]]
-            found = found[comp[found] != comp[k]]
+            found = base[found]
+            good = (comp[found] != comp[k]) & (np.minimum(onward[found], onward[k]) >= needed(n[found], n[k], percent))
+            found, score = found[good], score[good]
             if best and len(found) > 1:
                 order = np.lexsort((doc[found], -score))
                 in_main = order[comp[found[order]] == main][:1]
@@ -324,7 +328,7 @@ def _unit_pairs(percent: int, best: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, now, unit = Out(schema), None, []
-        for block, part, i, j, *row in rows(batches, "block", "part", "i", "j", "probe", "doc", "component", "main", "n", "point"):
+        for block, part, i, j, *row in rows(batches, "block", "part", "i", "j", "probe", "doc", "component", "main", "onward", "n", "point"):
             if (block, part, i, j) != now:
                 if unit:
                     out.add(*solve(unit))
@@ -340,18 +344,31 @@ def _unit_pairs(percent: int, best: bool):
     return trimming(run)
 
 
-def _open_blocks(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Members (block, part, doc, component) of blocks that hold several components, with the block's size m, and the largest
-    component main and its size. members: block, doc, n.
+def _able(members: DataFrame, percent: int) -> DataFrame:
+    """Members (block, part, doc, onward) that can link with another of their block and part, found at the block's shingle. members:
+    block, doc, n, place.
 
-    A block is parted by size: sets whose sizes allow the similarity are in the same class or in neighbouring ones, of which a part
-    holds two.
+    onward: how many shingles a member has from the block's on. The overlap of a pair is at most that of either, which bounds the
+    sizes that a member can link with. A block is parted by size: sets whose sizes allow the similarity are in the same class or in
+    neighbouring ones, of which a part holds two.
     """
-    labelled = members.join(labels.select(F.col("id").alias("doc"), "component").hint("merge"), "doc", "left")
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")
-    named = cut(labelled.select("block", "doc", F.coalesce("component", "doc").alias("component"), F.explode(F.array(size_class, size_class + 1)).alias("part")))
-    sizes = named.groupBy("block", "part", "component").agg(F.count(F.lit(1)).alias("c"))
+    onward = (F.col("n") - F.col("place")).alias("onward")
+    parted = cut(members.select("block", "doc", "n", onward, F.explode(F.array(size_class, size_class + 1)).alias("part")))
+    # The largest set that an overlap of onward is enough for.
+    reach = F.floor(((100 + percent) * F.col("onward") - percent * F.col("n")) / percent)
     # Written first: a join of two plain shuffles is one that Spark can split where a block is hot.
+    bounds = cut(parted.groupBy("block", "part").agg(F.min("n").alias("least"), F.max(reach).alias("far"), F.count(F.lit(1)).alias("m")).where("m > 1"))
+    return cut(parted.join(bounds.drop("m").hint("merge"), ["block", "part"]).where((reach >= F.col("least")) & (F.col("n") <= F.col("far"))).select("block", "part", "doc", "onward"))
+
+
+def _open_blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (block, part, doc, onward, component) of blocks that hold several components, with the block's size m, and the largest
+    component main and its size. members: block, part, doc, onward.
+    """
+    labelled = members.join(labels.select(F.col("id").alias("doc"), "component").hint("merge"), "doc", "left")
+    named = cut(labelled.select("block", "part", "doc", "onward", F.coalesce("component", "doc").alias("component")))
+    sizes = named.groupBy("block", "part", "component").agg(F.count(F.lit(1)).alias("c"))
     blocks = cut(sizes.groupBy("block", "part").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("components"), F.max(F.struct("c", "component")).alias("main")).where("components > 1"))
     return cut(named.join(blocks.select("block", "part", "m", F.col("main.component").alias("main"), F.col("main.c").alias("main_size")).hint("merge"), ["block", "part"]))
 
@@ -363,7 +380,7 @@ def _unresolved_pairs(dealt: DataFrame, points: DataFrame, percent: int, unit: i
     dealt = dealt.withColumns({"is": F.ceil(F.col("m") / unit).cast("int"), "js": F.ceil((F.col("m") - F.col("main_size")) / unit).cast("int")})
     dealt = dealt.join(_of_pairs(points, ends, ["doc", "n", "point"]).hint("merge"), "doc")
     where = lambda k: F.pmod(F.xxhash64("doc"), k).cast("int")
-    row = ["block", "part", "i", "j", "probe", "doc", "component", "main", "n", "point"]
+    row = ["block", "part", "i", "j", "probe", "doc", "component", "main", "onward", "n", "point"]
     indexed = dealt.withColumn("i", where(F.col("is"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("js") - 1))).withColumn("probe", F.lit(False)).select(*row)
     probes = dealt.where("component <> main").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("is") - 1))).withColumn("j", where(F.col("js"))).withColumn("probe", F.lit(True)).select(*row)
     key = ["block", "part", "i", "j"]
@@ -387,18 +404,20 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = sc.broadcast(bit_filter(sets, "mixed"))
     keyed = base.where("doc is not null")
 
-    members = keyed.mapInArrow(_members(k, percent, counts, first), "shingle long, doc long, n int")
-    shared = members.groupBy("shingle").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.min("n").alias("least"), F.max("n").alias("most")).where("low < high")
+    members = keyed.mapInArrow(_members(k, percent, counts, first), "shingle long, doc long, n int, place int")
+    shared = members.groupBy("shingle").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("place").alias("place")).where("low < high")
     alike = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
     shared = shared.where((F.col("m") > 2) | alike(F.col("least"), F.col("most")))
-    blocks = shared.groupBy("low", "high", "m", "x").agg(F.min("shingle").alias("block"))
+    # Of shingles with the same members the first in order, whose places are the least in all of them.
+    blocks = shared.groupBy("low", "high", "m", "x").agg(F.min(F.struct("place", "shingle")).alias("first")).withColumn("block", F.col("first.shingle"))
     blocks = cut(blocks.select("block", "low"))
     wanted = sc.broadcast(bit_filter(blocks, "block"))
-    found = cut(keyed.mapInArrow(_candidates(k, percent, counts, first, wanted), "doc long, n long, coarse binary, point binary, items binary, blocks array<long>"))
+    found = cut(keyed.mapInArrow(_candidates(k, percent, counts, first, wanted), "doc long, n long, coarse binary, point binary, items binary, blocks array<long>, places array<int>"))
 
     # All members against the least one of their block, by sizes and coarse points, then by points; of what is left few pairs a document.
     lows = blocks.join(found.select(F.col("doc").alias("low"), F.col("n").alias("na"), F.col("coarse").alias("pa")).hint("merge"), "low")
     inside = found.select("doc", "n", F.explode("blocks").alias("block"), "coarse")
+    placed = found.select("doc", "n", F.explode(F.arrays_zip(F.col("blocks").alias("block"), F.col("places").alias("place"))).alias("at")).select("doc", "n", "at.*")
     stars = inside.join(lows.hint("merge"), "block").where("low < doc").where(alike(F.col("na"), F.col("n"))).select(F.col("low").alias("a"), F.col("doc").alias("b"), "na", F.col("n").alias("nb"), "pa", F.col("coarse").alias("pb"))
     stars = cut(stars.mapInArrow(_bound(percent, lambda x: (np.frombuffer(x, "<u4"), 0)), "a long, b long").distinct())
     tried = _few(_near(stars, found, percent))
@@ -406,9 +425,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = cut(components(links))
 
     # In blocks that are still open, the best pairs by points, which mostly link; then, in what is open even so, all pairs.
-    members = inside.join(blocks.select("block").hint("merge"), "block").select("block", "doc", "n")
+    members = _able(placed.join(blocks.select("block").hint("merge"), "block"), percent)
     for best in (True, False):
-        rest = _unresolved_pairs(_open_blocks(members, labels, percent), found, percent, unit, best)
+        rest = _unresolved_pairs(_open_blocks(members, labels), found, percent, unit, best)
         rest = cut(rest.join(tried.hint("merge"), ["a", "b"], "left_anti"))
         more = _links(rest, found, percent)
         if more.limit(1).count():

@@ -278,6 +278,27 @@ def test_jaccard_classes(spark, docs, unit):
     assert got == brute_classes(rows)
 
 
+def test_jaccard_blocks_of_copies_apart(spark, monkeypatch):
+    """Near copies that have changed too much to link share prefix shingles, but aren't dealt against one another; those that link are found."""
+
+    def changed(seed, edits):
+        words = prose(77, 60).split()
+        for k in range(edits):
+            words[10 + 30 * k + seed % 15] = f"new{seed}x{k}"
+        return " ".join(words)
+
+    dealt, pairs = [], jaccard_join._unresolved_pairs
+    monkeypatch.setattr(jaccard_join, "_unresolved_pairs", lambda rows, *a, **b: dealt.append(rows.count()) or pairs(rows, *a, **b))
+    rows = [(k, changed(k, 2)) for k in range(400)]
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_classes(frame(spark, rows)).collect()} == {k: k for k, _ in rows}
+    assert sum(dealt) <= len(rows)
+    rows = [*rows[:40], *((k, changed(k, 1)) for k in range(40, 60)), (60, changed(0, 0))]
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(56)} for d, t in rows}
+    links = {d: {e for e in sets if 100 * len(sets[d] & sets[e]) >= 80 * len(sets[d] | sets[e])} for d in sets}
+    want = {d: min(links[d].union(*(links[e] for e in links[d]))) for d in sets}
+    assert len(set(want.values())) > 2 and {r.doc_id: r.component_id for r in jaccard_join.jaccard_classes(frame(spark, rows), unit=4).collect()} == want
+
+
 def test_jaccard_edge_cases(spark):
     found = jaccard_join.jaccard_classes(frame(spark, EDGE)).collect()
     assert len(found) == len(EDGE)
