@@ -83,6 +83,22 @@ def test_pieces_encode_like_whole_texts(docs, name, end):
     assert encoder.encode(texts) == [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def test_parts_encode_like_whole_texts_and_once():
+    """Words are encoded once whatever their case and the marks around them; texts of any letters and marks have the ids of whole ones."""
+    import public_tokenizers
+
+    encoder, given = Encoder(public_tokenizers.path("word_bpe_49k.json")), []
+    direct = encoder._ids
+    encoder._ids = lambda text: given.append(text) or direct(text)
+    assert encoder.encode(["Alphaword alphaword, (ALPHAWORD)\nalphaword. Été", "été: alphaword's \"Alphaword\""])
+    assert "".join(given).lower().count("alphaword") == 1 and "".join(given).lower().count("été") == 1
+    random = np.random.default_rng(4)
+    marks = ["'s", "'S", "'", "''", "'ll", "'l", "'ve", "don't", "12", "\xb2", "\xbc", "\xaa", "\xb5", "ß", "À", "\xd7", "!!", ".", "\xa0", "\xad", "\0", "\x07", "</w>", "\n", "  ", " x"]
+    texts = ["".join(random.choice(marks, random.integers(0, 30))) for _ in range(3000)]
+    texts += ["".join(map(chr, random.integers(0, 256, random.integers(1, 40)))) for _ in range(3000)] + ["H\u0331 a", "a <|endoftext|> b", "…", None]
+    assert encoder.encode(texts) == [np.array(encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_token_store(spark, docs):
     import public_tokenizers
 
