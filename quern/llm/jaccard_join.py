@@ -422,7 +422,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = cut(stars.mapInArrow(_bound(percent, lambda x: (np.frombuffer(x, "<u4"), 0)), "a long, b long").distinct())
     tried = _few(_near(stars, found, percent))
     links = _links(tried, found, percent)
-    labels = cut(components(links))
+    labels = components(links)
 
     # In blocks that are still open, the best pairs by points, which mostly link; then, in what is open even so, all pairs.
     members = _able(placed.join(blocks.select("block").hint("merge"), "block"), percent)
@@ -431,8 +431,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest = cut(rest.join(tried.hint("merge"), ["a", "b"], "left_anti"))
         more = _links(rest, found, percent)
         if more.limit(1).count():
-            links = cut(links.union(more))
-            labels = cut(components(links))
+            links = links.union(more)
+            labels = components(links)
         tried = tried.union(rest)
 
     named = sets.join(labels.select(F.col("id").alias("doc"), "component").hint("merge"), "doc", "left").select("s1", "s2", "n", F.coalesce("component", "doc").alias("component_id"))
