@@ -64,7 +64,7 @@ def slots_of(words: list[bytes]) -> np.ndarray:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, n = np.zeros(SLOTS, np.int64), 0
     for (text,) in rows(batches, "text"):
-        counts[np.unique(slots_of(terms(text)))] += 1
+        counts[np.unique(slots_of(list(set(terms(text)))))] += 1
         n += 1
     width = SLOTS // CHUNKS
     if n:
@@ -122,7 +122,7 @@ class Space:
             a[k, np.searchsorted(self.slots, used)] = np.sqrt(times) * idf[used]
         a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
         basis = randomised_svd(a, rank)
-        self.passages, self.basis = (a @ basis).astype(np.float32), basis.astype(np.float32)
+        self.passages, self.basis, self.idf = (a @ basis).astype(np.float32), basis.astype(np.float32), idf[self.slots]
         # Of each passage the weightiest words, by word: whose they are and how much they weigh.
         heads, rarer = [], []
         self.need = np.ones(len(slots))
@@ -142,14 +142,23 @@ class Space:
         own = np.array(WIDTHS)[np.searchsorted(WIDTHS, [len(x) for x in self.words])]
         self.own = {w: of for w in WIDTHS if len(of := np.flatnonzero(own == w))}
         self.widths = self.own | {WINDOW: np.arange(len(own))}
-        self.at = None
+        self.at, self.places = None, {}
+
+    def where(self, p: int) -> tuple[tuple[dict[bytes, int], int], tuple[dict[bytes, int], int]]:
+        """Places of words in a passage and in its answer, with their numbers of words."""
+        if p not in self.places:
+            passage = self.words[p]
+            tail = passage[-(-3 * len(passage) // 4) - 1 :] if len(passage) > 4 else passage
+            self.places[p] = (places_of(passage), len(passage)), (places_of(tail), len(tail))
+        return self.places[p]
 
     def positions(self, slots: np.ndarray) -> np.ndarray:
         """Rows of the projection; len(slots) of the space for words that it doesn't have."""
         if self.at is None:
             self.at = np.full(SLOTS + 1, len(self.slots), np.int32)  # SLOTS itself stands between texts
             self.at[self.slots] = np.arange(len(self.slots))
-            self.padded = np.vstack((self.basis, np.zeros((1, self.basis.shape[1]), np.float32)))
+            self.padded = np.vstack((self.basis, np.zeros((1, self.basis.shape[1])))).astype(np.float64)
+            self.near = {width: self.passages[of].astype(np.float64) for width, of in self.widths.items()}
         return self.at[slots]
 
 
@@ -162,18 +171,26 @@ def _space(idf, rank: int, overlap: float):
     return run
 
 
-def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
-    """Length of the longest common subsequence of words: a bit of one integer for each word of a."""
+def places_of(a: list[bytes]) -> dict[bytes, int]:
+    """Of each word of a a bit for each place that it has."""
     where: dict[bytes, int] = {}
     for k, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << k
-    full = (1 << len(a)) - 1
-    row = full
-    for x in b:
-        if hit := where.get(x):
-            u = row & hit
-            row = (row + u | row - u) & full
-    return len(a) - row.bit_count()
+    return where
+
+
+def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
+    """Length of the longest common subsequence of words."""
+    return _subsequence(list(filter(None, map(places_of(a).get, b))), len(a))
+
+
+def _subsequence(hits: list[int], n: int) -> int:
+    """The same, of the places in n words that each word there is in both has: a bit of one integer for each of the n."""
+    row = full = (1 << n) - 1
+    for hit in hits:
+        u = row & hit
+        row = (row + u | row - u) & full
+    return n - row.bit_count()
 
 
 def _candidates(slots: np.ndarray, idf: np.ndarray, space: Space, cosine: float) -> dict[int, list[tuple[float, int, int, int]]]:
@@ -189,11 +206,16 @@ def _part(slots: np.ndarray, first: int, idf: np.ndarray, space: Space, cosine:
     weight = idf[slots].astype(np.float64)
     total = np.concatenate(([0], np.cumsum(weight**2)))  # a term's weight is sqrt(count) * idf, so that squares add up word by word
 
-    def cosines(of: np.ndarray, i: int, j: int) -> np.ndarray:
-        known = np.flatnonzero(at[i:j] < len(space.slots)) + i
-        used, times = np.unique(slots[known], return_counts=True)
-        projected = (np.sqrt(times) * idf[used]) @ space.padded[space.positions(used)]
-        return space.passages[of] @ projected / max(float(np.sqrt(total[j] - total[i])), 1e-12)
+    def cosines(passages: np.ndarray, i: int, j: int) -> np.ndarray:
+        held = np.sort(at[i:j])
+        held = held[: held.searchsorted(len(space.slots))]
+        if not len(held):
+            return np.zeros(len(passages))
+        ends = np.append((held[1:] != held[:-1]).nonzero()[0], len(held) - 1)
+        used, times = held[ends], ends + 1.0
+        times[1:] -= times[:-1].copy()
+        projected = (np.sqrt(times) * space.idf[used]) @ space.padded[used]
+        return passages @ projected / max(float(np.sqrt(total[j] - total[i])), 1e-12)
 
     places, passages, weights = space.heads.of(at)
     products = weight[places] * weights
@@ -211,7 +233,7 @@ def _part(slots: np.ndarray, first: int, idf: np.ndarray, space: Space, cosine:
         hopeful = (norm > 0) & (sums.reshape(count, many) >= (cosine - REST) * norm[:, None]).any(1)
         for k in np.flatnonzero(hopeful):
             i, j = int(start[k]), int(end[k])
-            near = cosines(of, i, j)
+            near = cosines(space.near[width], i, j)
             for q in np.flatnonzero(near >= cosine):
                 p = int(of[q])
                 reach = len(space.words[p]) // 2 + 4
@@ -225,11 +247,13 @@ def _part(slots: np.ndarray, first: int, idf: np.ndarray, space: Space, cosine:
         enough = held[:-2] + held[1:-1] + held[2:] >= space.need[of]  # three steps hold all of a copy, wherever it starts
         for k, q in np.argwhere(enough):
             i, j = max(0, (int(k) - 2) * step), min((int(k) + 1) * step, len(slots))
-            found.setdefault(int(of[q]), []).append((float(cosines(of[q : q + 1], i, j)[0]), first + i, first + j, first + j - 1))
+            found.setdefault(int(of[q]), []).append((float(cosines(space.passages[of[q : q + 1]], i, j)[0]), first + i, first + j, first + j - 1))
 
 
 def _among(of: np.ndarray, passages: int, place: np.ndarray, passage: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The postings of the passages in of, numbered by their order there."""
+    if len(of) == passages:
+        return place, passage, weight
     number = np.full(passages, -1)
     number[of] = np.arange(len(of))
     among = number[passage] >= 0
@@ -251,14 +275,15 @@ def _hits(texts: list[tuple[int | None, list[bytes], np.ndarray]], idf: np.ndarr
     slots, starts = _laid(texts)
     for space in spaces:
         for p, windows in _candidates(slots, idf, space, cosine).items():
-            passage = space.words[p]
-            tail = passage[-(-3 * len(passage) // 4) - 1 :] if len(passage) > 4 else passage
+            (passage, many), (tail, few) = space.where(p)
             best: dict[int, tuple[float, float, float]] = {}
             places = np.searchsorted(starts, [x[3] for x in windows], "right") - 1
             for k, (similarity, i, j, _) in zip(places.tolist(), windows, strict=True):
                 near = texts[k][1][max(0, i - int(starts[k])) : j - int(starts[k])]
-                share, last = common_subsequence(passage, near) / len(passage), common_subsequence(tail, near) / len(tail)
-                if share >= overlap and last >= answer:
+                hits = list(filter(None, map(passage.get, near)))
+                if len(hits) / many < overlap or (share := _subsequence(hits, many) / many) < overlap:  # no more words in order than in any
+                    continue
+                if (last := _subsequence(list(filter(None, map(tail.get, near))), few) / few) >= answer:
                     best[k] = max(best.get(k, (0.0, 0.0, 0.0)), (share, last, similarity))
             yield from ((texts[k][0], space.items[p], x[2], x[0], x[1]) for k, x in best.items())
 
