@@ -48,12 +48,24 @@ def parse_blocks(responses: DataFrame, key: str = "id", text: str = "response")
     return found.select(key, F.col("block").cast("int").alias("block"), "mechanism", "ord", field(1).alias("subject"), field(2).alias("predicate"), field(3).alias("object"))
 
 
+def _counts(text: str) -> Column:
+    """How many blocks and triples a response has, from its lines in order: struct of blocks, triples and whether the block's triples have begun."""
+    trimmed = F.transform(F.split(F.coalesce(text, F.lit("")), LINES), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    zero = F.struct(F.lit(0).cast("long").alias("blocks"), F.lit(0).cast("long").alias("triples"), F.lit(False).alias("began"))
+
+    def step(so_far: Column, line: Column) -> Column:
+        header, begins = line.rlike(HEADER), line.rlike(TRIPLES)
+        counts = so_far.began & ~header & line.rlike(TRIPLE)
+        began = ~header & (so_far.began | (begins & (so_far.blocks > 0)))
+        return F.struct((so_far.blocks + header.cast("long")).alias("blocks"), (so_far.triples + counts.cast("long")).alias("triples"), began.alias("began"))
+
+    return F.aggregate(F.filter(trimmed, lambda x: x != ""), zero, step)
+
+
 def count_blocks(responses: DataFrame, key: str = "id", text: str = "response") -> DataFrame:
-    """How many blocks and triples each response has; blocks without triples count."""
-    heads = response_lines(responses, key, text).groupBy(key).agg(F.count_if(F.col("line").rlike(HEADER)).alias("blocks"))
-    triples = parse_blocks(responses, key, text).groupBy(key).agg(F.count(F.lit(1)).alias("triples"))
-    none = F.lit(0).cast("long")
-    return responses.select(key).distinct().join(heads, key, "left").join(triples, key, "left").select(key, F.coalesce("blocks", none).alias("blocks"), F.coalesce("triples", none).alias("triples"))
+    """How many blocks and triples each response has; blocks without triples count. Counted row by row; only numbers are grouped by key."""
+    each = responses.select(key, _counts(text).alias("_c")).select(key, "_c.blocks", "_c.triples")
+    return each.groupBy(key).agg(F.sum("blocks").alias("blocks"), F.sum("triples").alias("triples"))
 
 
 def parse_paragraphs(responses: DataFrame, keys: list[str], text: str = "response", keep_not_found: bool = False) -> DataFrame:
