@@ -94,9 +94,12 @@ def delete(uri: str) -> None:
 def mix(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64, on uint64."""
     x = np.asarray(x, np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -202,7 +205,7 @@ class Out:
     def take(self) -> pa.RecordBatch:
         arrays = []
         for part, field in zip(self.parts, self.schema, strict=True):
-            if pa.types.is_integer(field.type) or pa.types.is_floating(field.type):
+            if pa.types.is_integer(field.type) or pa.types.is_floating(field.type) or part and pa.types.is_boolean(field.type):
                 data = np.concatenate([np.asarray(x) for x in part]) if part else np.zeros(0)
                 arrays.append(pa.array(data.view(np.int64) if data.dtype == np.uint64 else data).cast(field.type))
             else:

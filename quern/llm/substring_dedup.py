@@ -27,6 +27,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Out, Rolling, bit_filter, cut, filesystem, mix, passes, rows, shared_folder, table, word_hashes, words_of
+from quern.llm.common import Out, Rolling, bit_filter, cut, filesystem, passes, rows, shared_folder, table, word_hashes, words_of
 
 WINDOW = 50
 ANCHOR = 18
@@ -57,19 +58,27 @@ class Segments:
         self.words, self.sums = words, _first.sums(word_hashes(words))
         grams = _first.runs(self.sums, anchor)
         width = window - anchor + 1
-        at = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(1) + np.arange(self.n)
-        first = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1))
-        self.start, self.count = first, np.diff(np.concatenate((first, [self.n])))
-        self.anchor = grams[at[first]]
-        self.segment = _first.spans(self.sums, first, first + self.count + window - 1)
-
-    def windows(self, start: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Both hashes of n windows from start."""
-        ends = self.sums[start + self.window : start + self.window + n]
-        key = mix((ends - self.sums[start : start + n]) * _first.down[start : start + n] + np.uint64(self.window))
-        words = self.words[start : start + n + self.window - 1]
-        again = np.fromiter((xxhash.xxh64_intdigest(x, 7) for x in words), np.uint64, len(words))
-        return key, _second.runs(_second.sums(again), self.window)
+        # A view of each window's runs, without the checks of sliding_window_view, which take longer than a short text.
+        at = np.ndarray((self.n, width), np.uint64, grams, 0, (8, 8)).argmin(1)
+        at += np.arange(self.n)
+        edges = np.flatnonzero(at[1:] != at[:-1]) + 1
+        bounds = np.zeros(len(edges) + 2, np.int64)
+        bounds[1:-1], bounds[-1] = edges, self.n
+        self.start, self.count = bounds[:-1], bounds[1:] - bounds[:-1]
+        self.anchor = grams[at[self.start]]
+        self.segment = _first.spans(self.sums, self.start, bounds[1:] + (window - 1))
+
+    def windows(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both hashes and the place of each window of the wanted segments; a word is hashed anew once, whatever the number of windows that hold it."""
+        start, end = self.start[wanted], self.start[wanted] + self.count[wanted]
+        last = end + self.window - 1
+        apart = np.flatnonzero(start[1:] > last[:-1])
+        again = np.zeros(len(self.words), np.uint64)
+        for low, high in zip(start[np.concatenate(([0], apart + 1))].tolist(), last[np.concatenate((apart, [len(last) - 1]))].tolist(), strict=True):
+            again[low:high] = np.fromiter(map(xxhash.xxh64_intdigest, self.words[low:high], repeat(7)), np.uint64, high - low)
+        at = np.repeat(start - np.concatenate(([0], np.cumsum(end - start)[:-1])), end - start) + np.arange(int((end - start).sum()))
+        sums = _second.sums(again)
+        return _first.spans(self.sums, at, at + self.window), _second.spans(sums, at, at + self.window), at
 
 
 def _scan(window: int, anchor: int):
@@ -77,8 +86,12 @@ def _scan(window: int, anchor: int):
         out = Out(_seen)
         for doc, text in rows(batches, "doc", "text"):
             if (s := Segments(text, window, anchor)).n:
-                both = np.unique(np.stack((s.anchor, s.segment)), axis=1)
-                out.add(both[0], both[1], np.full(both.shape[1], doc, np.int64))
+                order = np.lexsort((s.segment, s.anchor))
+                a, b = s.anchor[order], s.segment[order]
+                new = np.ones(len(a), bool)
+                new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+                n = int(new.sum())
+                out.add(a[new], b[new], np.full(n, doc, np.int64))
             if out.full():
                 yield out.take()
         if out.n:
@@ -97,11 +110,11 @@ def _expand(window: int, anchor: int, uniform, mixed):
             if not s.n:
                 continue
             if uniform is not None and len(k := np.flatnonzero(passes(uniform.value, s.anchor))):
-                out.add(np.ones(len(k), bool).tolist(), s.anchor[k], s.segment[k], np.full(len(k), doc, np.int64), np.full(len(k), row, np.int64), s.start[k].astype(np.int32), s.count[k].astype(np.int32))
-            for k in np.flatnonzero(passes(mixed.value, s.anchor)):
-                start, n = int(s.start[k]), int(s.count[k])
-                key, check = s.windows(start, n)
-                out.add([False] * n, key, check, np.full(n, doc, np.int64), np.full(n, row, np.int64), np.arange(start, start + n, dtype=np.int32), np.ones(n, np.int32))
+                out.add(np.ones(len(k), bool), s.anchor[k], s.segment[k], np.full(len(k), doc, np.int64), np.full(len(k), row, np.int64), s.start[k].astype(np.int32), s.count[k].astype(np.int32))
+            if len(k := np.flatnonzero(passes(mixed.value, s.anchor))):
+                key, check, at = s.windows(k)
+                n = len(at)
+                out.add(np.zeros(n, bool), key, check, np.full(n, doc, np.int64), np.full(n, row, np.int64), at.astype(np.int32), np.ones(n, np.int32))
             if out.full():
                 yield out.take()
         if out.n:
